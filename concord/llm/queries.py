@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import language, line_dedup, media, mixing, packing, simhash, token_counts
+from concord.llm import embedding_dedup, html_text, language, licenses, line_dedup, media, mixing, packing, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -28,11 +28,19 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(_documents(spark, sf_dir)))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(_documents(spark, sf_dir), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("text_hash")
 
@@ -41,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json")).drop("ids")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = language.train(docs, vocabulary("piece_bpe_32k.model"))
@@ -52,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op4_line_dedup, op6_mixing, op7_packing, op9_language, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_license_scan, op4_line_dedup, op5_embedding_dedup, op6_mixing, op7_packing, op8_html_text, op9_language, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
