@@ -47,7 +47,7 @@ def test_queries_are_checked():
 
 @pytest.mark.parametrize(
     ("note", "want"),
-    [("[M.H., 03/12/1863]", dt.date(1863, 12, 3)), ("23/051868", dt.date(1868, 5, 23)), ("Sep 21, 1901.", dt.date(1901, 9, 21)), ("31st October 1912", dt.date(1912, 10, 31)), ("London. 1794.", dt.date(1794, 1, 1)), ("31/02/1880", None), ("In the 1904 reprint this changed", None), (None, None)],
+    [("[M.H., 03/12/1863]", dt.date(1863, 12, 3)), ("23/051868", dt.date(1868, 5, 23)), ("Sep 21, 1901.", dt.date(1901, 9, 21)), ("31st October 1912", dt.date(1912, 10, 31)), ("London. 1794.", dt.date(1794, 1, 1)), ("31/02/1880", dt.date(1880, 1, 1)), ("In the 1904 reprint this changed", None), (None, None)],
 )
 def test_note_dates(note, want):
     assert dates.note_date(note) == want
