@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import map_arrow
+from concord.llm.shared import hold, map_arrow
 from concord.llm.vocabulary import PieceTable, PrefixForest, forests
 
 #: Strings between spaces that a worker keeps; the store is emptied beyond that.
-KEPT = 800_000
+KEPT = 300_000
 #: Bytes of a word that are scored in one go; longer words are scored by such parts.
 WIDE = 48
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,6 +55,9 @@ class PieceModel:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        self.store, self.rows = {}, self.rows[:0].copy()
+
     def forward(self, forest: PrefixForest) -> np.ndarray:
         """Log probability of each row's word, ``[rows, languages]``, each prefix summed once."""
         n, width = forest.matrix.shape
@@ -95,7 +98,7 @@ class PieceModel:
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         new = {p for own in cut for p in own}
         if len(self.store) + len(new) > KEPT:
-            self.store, self.rows = {}, self.rows[:0]
+            self.forget()
         new = list(new - self.store.keys())
         self.store.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
         self.rows = np.concatenate([self.rows, self.words(new)])
@@ -200,6 +203,8 @@ def identify(docs: DataFrame, model: PieceModel | None, id_col: str = "doc_id",
     def run(batches):
         gc.disable()
         own = shipped.value
+        if own is not None:
+            hold(f"language {id(own)}", own.forget)
         for batch in batches:
             texts, langs, scores = batch.column(at).to_pylist(), [], []
             for start in range(0, len(texts), 1000):

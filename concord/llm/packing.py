@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.shared import materialise
+from concord.llm.shared import hold, materialise
 from concord.llm.vocabulary import HashTable, byte_symbols, pair_keys
 
-#: Words a worker keeps; the store is emptied beyond that, so memory is bounded.
-KEPT_WORDS = 1_000_000
+#: Strings between spaces, and words, that a worker keeps; a store is emptied beyond that, so memory is bounded.
+KEPT_PARTS, KEPT_WORDS = 400_000, 200_000
 
 
 class WordEncoder:
@@ -153,7 +153,7 @@ class WordEncoder:
 
     def learn(self, parts: set[str]) -> None:
         """Store the ids of strings without spaces."""
-        if len(self.store) + len(parts) > KEPT_WORDS:
+        if len(self.store) + len(parts) > KEPT_PARTS:
             self.store.clear()
         store, split, cut, plain = self.store, self.pattern.findall, {}, {}
         for s in parts - store.keys():
@@ -199,6 +199,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_i
 
     def run(batches):
         gc.disable()  # the stores hold no cycles, and walking them takes a third of the time
+        hold("packing", encoder.cache_clear)
         own, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(2, "little")
         for batch in batches:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.shared import connected_components, materialise
+from concord.llm.shared import connected_components, hold, materialise
 
 HOT = 4096
 #: Rows a task joins at a time, and node pairs that it holds at a time.
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str =
     """
 
     def run(batches):
+        hold("fingerprints", lambda: None)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from concord.llm.shared import map_arrow
+from concord.llm.shared import hold, map_arrow
 from concord.llm.vocabulary import HashTable, PieceTable, PrefixForest, byte_symbols, forests, pair_keys
 
 #: The pre-token pattern of the vocabulary.
@@ -277,6 +277,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     def run(batches):
         gc.disable()  # the stores hold no cycles, and walking them takes a third of the time
+        hold("token counts", counter.cache_clear)
         own = counter(vocabulary)
         for batch in batches:
             n_bytes, n_tokens = [], []
