@@ -18,18 +18,27 @@ BLANKS = " \t\n\x0b\x0c\r"
 SALTS = 8
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines.
 
+    Spark trims given characters, and translates them, far slower than it
+    lower-cases ASCII, so only the lines that need these get them.  Each step is
+    a transform of its own, as a lambda evaluates again what it names twice.
+    """
 
-def _hashes(text: Column) -> Column:
-    """Two 64-bit hashes of each line's key; null for an empty key, which is never dropped."""
+    def strip(line: Column) -> Column:
+        edges = [F.substring(line, at, 1).isin(*BLANKS) for at in (1, -1)]
+        return F.when(edges[0] | edges[1], F.trim(line, F.lit(BLANKS))).otherwise(line)
+
+    def lower(key: Column) -> Column:
+        return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(ascii_lower(key))
 
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+    return F.transform(F.transform(F.split(text, "\n"), strip), lower)
 
-    return F.transform(F.split(text, "\n"), one)
+
+def _hashes(text: Column) -> Column:
+    """Two 64-bit hashes of each line's key; null for an empty key, which is never dropped."""
+    return F.transform(line_keys(text), lambda key: F.when(key != "", F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))))
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,12 +55,13 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
     # rows with equal id and text lose the same positions, so the pair is key enough
     row = [F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_t")]
     lines = docs.select(*row, _hashes(text).alias("h"))
+    # outer generators: before inner ones Spark filters by size, and hashes all lines again for it
     frequent = (
-        lines.select(F.explode(F.array_distinct("h")).alias("h")).where("h is not null")
+        lines.select(F.explode_outer(F.array_distinct("h")).alias("h")).where("h is not null")
         .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         .select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     )
-    placed = lines.select("_i", "_t", F.posexplode("h").alias("p", "h")).where("h is not null")
+    placed = lines.select("_i", "_t", F.posexplode_outer("h").alias("p", "h")).where("h is not null")
     placed = placed.withColumn("s", F.pmod(F.xxhash64("_i", "_t"), F.lit(SALTS)).cast("int"))
     gone = placed.join(frequent, ["h", "s"]).groupBy("_i", "_t").agg(F.collect_set("p").alias("_gone"))
     gone = gone.withColumnsRenamed({"_i": "_gi", "_t": "_gt"})
