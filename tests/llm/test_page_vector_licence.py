@@ -127,3 +127,15 @@ def test_templates_are_known_and_others_not(model):
 def test_licence_scan_edge_rows(docs, empty, rows):
     assert licenses.scan(docs).count() == len(rows)
     assert licenses.scan(empty).count() == 0
+
+
+def test_embedding_recall_on_a_whole_table(spark):
+    """Probes reach at least 0.9 of the links that brute force finds, and nothing else is linked."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = frame.select("vec_id", "embedding").toPandas()
+    unit = np.stack(rows["embedding"]).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    true = dict(zip(rows["vec_id"], ((unit @ unit.T) >= 0.95).sum(1) - 1, strict=True))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(frame).collect()}
+    assert all(got[k] <= true[k] for k in true)
+    assert sum(got.values()) >= 0.9 * sum(true.values())
