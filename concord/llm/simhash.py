@@ -23,6 +23,8 @@ from concord.llm.shared import connected_components, hold, materialise
 HOT = 4096
 #: Rows a task joins at a time, and node pairs that it holds at a time.
 ROWS, PAIRS = 100_000, 400_000
+#: Members of a candidate group that are compared in one task; larger groups are dealt by pairs of parts.
+PART = 512
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -66,8 +68,8 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, sig, text_hash, first)``.
+def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """``(id_col, sig, text_hash, first)``; with ``distinct``, repeats of a shingle do not count.
 
     ``sig`` joins ``parts`` little-endian 64-bit fingerprints, ``first`` is the
     first of them, and ``text_hash`` a hash of the word sequence.
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str =
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 texts = part.column(1).to_pylist()
-                hashes = [shingle_hashes(t, words) for t in texts]
+                hashes = [np.unique(h) if distinct else h for h in (shingle_hashes(t, words) for t in texts)]
                 sig = np.stack([majorities([mixed(h, k) for h in hashes]) for k in range(parts)], 1)
                 whole = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) if len(h) else 0 for t, h in zip(texts, hashes, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sig[:, 0].view(np.int64))], names=[id_col, "sig", "text_hash", "first"])
@@ -191,12 +193,13 @@ def join_groups(key: np.ndarray, cell: np.ndarray, values: np.ndarray, width: in
     return rows, label[rows]
 
 
-def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget: int | None = None, carry: int | None = None) -> DataFrame:
     """``(src, dst)`` edges that connect nodes with a fingerprint within the budget.
 
     ``nodes`` has ``node`` (long, unique) and ``sig``; table ``t`` is bits
     ``[t * width, (t + 1) * width)`` of the signature.  With ``sig_budget`` the
-    whole signatures must also differ in at most so many bits.
+    whole signatures, or their first ``carry`` bytes, must also differ in at
+    most so many bits.
     """
     block = width // (budget + 1)
     carried = ["sig"] if sig_budget is not None else []
@@ -205,6 +208,7 @@ def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget
         for batch in batches:
             if not len(batch):
                 continue
+            short = [pa.array([x[:carry] for x in batch.column(1).to_pylist()], pa.binary())] if carried else []
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{width // 8}").reshape(len(batch), -1)[:, :tables].astype(np.uint64)
             for t in range(tables):
                 for r in range(budget + 1):
@@ -213,7 +217,7 @@ def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget
                     turned = ((value << turn) | (value >> (np.uint64(width) - turn if r else np.uint64(0)))) & mask if r else value
                     key = np.int64((t * (budget + 1) + r) << block) + (turned >> np.uint64(width - block)).astype(np.int64)
                     columns = [pa.array(key), batch.column(0), pa.array(turned.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if carried else [])], names=["key", "node", "value", *carried])
+                    yield pa.RecordBatch.from_arrays([*columns, *short], names=["key", "node", "value", *carried])
 
     def join(batches):
         held: list[pa.RecordBatch] = []
@@ -280,23 +284,106 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, id_col: st
     return prints.join(named, F.col("node") == F.col("own")).select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, parts: int = 5, tables: int = 10, sig_budget: int = 56, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, least: float, sig_budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sets have a Jaccard similarity of at least ``least``.
+
+    ``side`` is 0 or 1; where both occur, only pairs across are linked.  Pairs
+    whose signatures differ in over ``sig_budget`` bits are not compared.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    both = side.any() and not side.all()
+    found_a, found_b = [], []
+    rows = np.nonzero(side == 0)[0] if both else np.arange(n)
+    for lo in range(0, len(rows), 64):
+        own = rows[lo : lo + 64]
+        differ = np.bitwise_count(sigs[own][:, None] ^ sigs).sum(2, dtype=np.int64)
+        good = (differ <= sig_budget) & (np.minimum(sizes[own][:, None], sizes) >= least * np.maximum(sizes[own][:, None], sizes) - 1e-9) & (sizes > 0)
+        good &= (side == 1) if both else np.arange(n) > own[:, None]
+        i, j = np.nonzero(good)
+        found_a.append(np.stack([own[i], j, differ[i, j]]))
+    a, b, differ = np.concatenate(found_a, 1)
+    order = np.argsort(differ, kind="stable")
+    a, b = a[order], b[order]
+    label, found_a = np.arange(n), []
+    while len(a):
+        # of each row the nearest open pair; what this joins needs no comparison any more
+        first = np.unique(a, return_index=True)[1]
+        hit = np.zeros(len(first), bool)
+        for k, (i, j) in enumerate(zip(a[first].tolist(), b[first].tolist(), strict=True)):
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            hit[k] = shared >= least * (sizes[i] + sizes[j] - shared) - 1e-9
+        found_a.append(a[first[hit]])
+        found_b.append(b[first[hit]])
+        label = spanning(n, np.concatenate(found_a), np.concatenate(found_b))
+        open_ = label[a] != label[b]
+        open_[first] = False
+        a, b = a[open_], b[open_]
+    rows = np.nonzero(label != np.arange(n))[0]
+    return rows, label[rows]
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, least: float, sig_budget: int, id_col: str, text_col: str) -> DataFrame:
+    """``(src, dst)`` edges that connect nodes of a group by exact Jaccard similarities of their shingle sets.
+
+    ``groups`` has ``node`` and ``component``.  A group of more than ``PART``
+    nodes is dealt by pairs of its parts.
+    """
+    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = groups.join(materialise(sized, "sized"), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = materialise(nodes.join(members, "node"), "members")
+    texts = _with_text_hash(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")), "text")
+    rows = texts.join(members, (F.col("_h") == F.col("node")) & F.col("i").eqNullSafe(F.col("low")))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y"))))
+    cells = rows.select("component", "node", "sig", "part", "text", pairs.alias("c")).select("component", "c.x", "c.y", "part", "node", "sig", "text")
+
+    def compare(batches):
+        hold("near copies", lambda: None)
+        group, held = None, {}
+
+        def answer() -> pa.RecordBatch:
+            part, sigs, sets = zip(*held.values(), strict=True)
+            node = np.fromiter(held, np.int64, len(held))
+            sigs = np.frombuffer(b"".join(sigs), np.uint64).reshape(len(held), -1)
+            a, b = exact_links(list(sets), sigs, (np.array(part) != group[1]).astype(np.int64), least, sig_budget) if group[1] == group[2] or len(set(part)) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(node[a] if len(a) else [], pa.int64()), pa.array(node[b] if len(b) else [], pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            for component, x, y, part, node, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, x, y) != group:
+                    if len(held) > 1:
+                        yield answer()
+                    group, held = (component, x, y), {}
+                if node not in held:
+                    held[node] = (part, sig, np.unique(shingle_hashes(text, words)))
+        if len(held) > 1:
+            yield answer()
+
+    dealt = cells.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return dealt.mapInArrow(compare, "src long, dst long")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, parts: int = 10, tables: int = 20, sig_budget: int = 152, carry_budget: int = 50, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest id.
 
-    For similarities of about 0.8 on five-word shingles, 64 bits within a
-    budget of three are too few: copies that similar differ in some nine.  So
-    ``parts`` fingerprints are joined to a signature; the trie join runs over
-    ``tables`` tables of 32 of its bits, and rows link when the whole
-    signatures differ in at most ``sig_budget`` bits of 320.
+    Near copies have a Jaccard similarity of at least ``least`` between their
+    sets of five-word shingles (a shorter text is one shingle).  For
+    similarities of about 0.8, 64 bits within a budget of three are too few:
+    copies that similar differ in some nine.  So ``parts`` fingerprints are
+    joined to a signature; the trie join runs over ``tables`` tables of 32 of
+    its bits, with at most ``carry_budget`` of its first 192 bits differing, and gives candidate groups.  In them
+    pairs whose signatures differ in at most ``sig_budget`` bits of 640 are
+    confirmed by their exact similarity: only those link, and a link is missed
+    only where the signatures miss it.
 
     Texts with equal word sequences are one node; so are all texts without
     words.  A null id counts as the largest.  Of equal rows one stays.  An
     empty table gives an empty one.
     """
-    prints = materialise(fingerprints(docs, words, parts, id_col, text_col), "prints")
+    prints = materialise(fingerprints(docs, words, parts, id_col, text_col, distinct=True), "prints")
     low = F.min_by(F.col(id_col), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)))
     nodes = materialise(prints.groupBy(F.col("text_hash").alias("node")).agg(F.first("sig").alias("sig"), low.alias("low")), "nodes")
-    labels = connected_components(links(nodes, 32, tables, 3, sig_budget))
+    groups = materialise(connected_components(links(nodes, 32, tables, 3, carry_budget, 24)), "groups")
+    labels = connected_components(confirmed(docs, nodes, groups, words, least, sig_budget, id_col, text_col))
     owned = nodes.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     winner = F.min_by(F.struct("node", "low"), F.struct(F.col("low").isNull(), "low", "node"))
     kept = owned.groupBy("component").agg(winner.alias("w")).select(F.col("w.node").alias("_n"), F.col("w.low").alias("_i"))

@@ -72,6 +72,28 @@ def test_deduplicate_keeps_one_of_each_group(docs, rows):
     assert len(kept[0]) == len(rows[0])
 
 
+@pytest.mark.parametrize("part", [512, 8])
+def test_deduplicate_links_by_exact_jaccard(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(160):
+        own = [f"w{x}" for x in rng.integers(0, 5000, 60 + k)]
+        copy = list(own)
+        for at in rng.choice(len(own), 1 + k % 8, replace=False):
+            copy[at] = f"x{k}y{at}"
+        texts += [" ".join(own), " ".join(copy)]
+    for _ in range(40):  # one large group
+        copy = texts[300].split()
+        copy[int(rng.integers(0, len(copy)))] = f"z{rng.integers(0, 5000)}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    roots = components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    low = {root: min(k for k, r in enumerate(roots) if r == root) for root in roots}
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == set(low.values())
+
+
 def test_media_round_trip(docs, rows):
     got = {r.doc_id: r for r in media.digests(media.store_texts(docs)).collect() if r.doc_id is not None}
     for doc_id, text in {r[0]: r[1] for r in rows if r[0] not in (None, 3)}.items():
