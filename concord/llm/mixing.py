@@ -2,7 +2,7 @@
 
 Each source's documents are shuffled into a stream of words and cut into blocks
 of equal size.  Slot ``i`` of the mix draws the point ``frac(i / phi)``, which
-cumulative target shares map to a source; the source's slots are ranked, and
+cumulative shares of the slots needed map to a source; the source's slots are ranked, and
 rank ``r`` takes block ``r`` modulo the number of blocks.  A source's last slot
 is cut where its target is reached.
 """
@@ -20,6 +20,8 @@ POINTS, GOLDEN = 1 << 31, 1327217885
 CELLS = 4096
 #: Slots a rank is counted within; ranks before them come from sums.
 CHUNK = 4096
+#: Slots that a source is dealt beyond its need: its points are even, but not exact.
+SPARE = 128
 
 
 def word_count(text):
@@ -69,7 +71,7 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     return drawn.withColumn("within", within).join(bases, ["k", "chunk"]).select("slot", "k", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int | None = None) -> DataFrame:
     """``(id_col, size, source_size, target, taken)`` and ``text_hash`` for every row.
 
     ``size`` is the row's number of words (null text: 0), ``taken`` how many
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     is a source of its own, last in order.  Rows with null or equal ids each
     have their own row; an empty table gives an empty one.
     """
-    plan, block, ledger = plan_mix(docs, weights, most, id_col, text_col, source_col)
+    plan, block, ledger = plan_mix(docs, weights, most, id_col, text_col, source_col, block)
     rows = _shuffled(docs, id_col, source_col, text_col, seed).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     rows = rows.withColumn("bucket", F.substring("o", 1, 3))
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,24 +99,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     return whole.select(F.col("i").alias(id_col), "size", "source_size", "target", "taken", F.col("t").alias("text_hash"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, int, DataFrame]:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str, block: int | None = None) -> tuple[DataFrame, int, DataFrame]:
     """The sources' plan, the block size, and how often each block is taken.
 
+    Points are shared by the slots a source needs, not by its words: the last
+    block of a round can be short, and then costs a slot all the same.
+
     The ledger is ``(k, block, full, clip)``: ``full`` whole takes, and the
     words of one more that is cut short at the end of a source's target.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
     plan = materialise(targets(sizes, weights, most).withColumnRenamed("source", "plan_source"), "plan")
     total = plan.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(4096, total >> 18))
+    block = block or max(1, min(4096, total >> 18))
     goal, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
     # blocks of whole rounds, and of the rest of the target
     need = F.floor(goal / size) * F.ceil(size / block) + F.ceil((goal % size) / block)
     needs = plan.select("k", "source_size", goal.alias("goal"), F.ceil(size / block).alias("blocks"), need.alias("need"))
-    slots, sources = needs.agg(F.sum("need"), F.count("*")).first()
-    # the points of a source are even, but not exact: so many slots more reach every target
-    slots = int((slots or 0) * 1.02) + 64 * (sources or 0)
-    drawn = schedule(plan, slots).join(needs, "k").where("rank < need")
+    dealt = needs.where("need > 0").select("k", (F.col("need") + SPARE).alias("target"))
+    slots = dealt.agg(F.sum("target")).first()[0] or 0
+    drawn = schedule(dealt, slots).join(needs, "k").where("rank < need")
     begin = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + F.col("rank") % F.col("blocks") * block
     room = F.least(F.lit(block), F.col("source_size") - F.col("rank") % F.col("blocks") * block)
     words = F.least(room, F.col("goal") - begin)

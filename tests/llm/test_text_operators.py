@@ -160,6 +160,19 @@ def test_mixing_reaches_targets(docs, rows):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
 
 
+@pytest.mark.parametrize("block", [305, 4096])
+def test_mixing_reaches_targets_of_sources_under_a_block(spark, block):
+    sizes = {"a": 1_500_000, "b": 150, "c": 400, "d": 1, "e": 4097, "f": 611}
+    made = [(100 * k + j, "w " * (n // 10 + (j < n % 10)), s) for k, (s, n) in enumerate(sizes.items()) for j in range(10)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id long, text string, source string"), block=block).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 3 * r.size
+    assert set(target) == set(sizes.values()) and all(abs(taken[n] - target[n]) <= 0.5 for n in target)
+
+
 def test_mixed_documents_repeat_rows(docs):
     taken = sum(r.taken for r in mixing.mix(docs).collect())
     kept = [r for r in mixing.mixed_documents(docs).collect()]
