@@ -1,13 +1,11 @@
 """Near-duplicate embeddings by product quantisation with exact reranking.
 
 Coarse centroids give inverted lists; residuals are coded by subspace.  A
-vector probes each list whose members can be near it.  A link is at most the
-link radius long; what counts is its part across the bisector between the
-list's centroid and the vector's own, which for a direction at random in ``d``
-dimensions has a deviation of radius / sqrt(d).  Lists within ``SIGMAS`` such
-deviations are probed.  Asymmetric table lookups give distances to the coded
-members; those within the radius plus the member's coding error are reranked
-by exact cosine, so only a list left unprobed can cost a link.
+vector probes each list whose members can be near it: a link is at most the
+link radius long, so its other end is beyond the bisector between a list's
+centroid and the vector's own only if the bisector is within the radius.
+Asymmetric table lookups give distances to the coded members; those within the
+radius plus the member's coding error are reranked by exact cosine.
 """
 
 from __future__ import annotations
@@ -25,8 +23,6 @@ from concord.llm.simhash import spanning
 
 #: The index is fitted on about so many different vectors.
 SAMPLE = 8192
-#: Reach of the probes; 3.5 deviations leave out some 0.02 % of the longest links, and fewer of shorter ones.
-SIGMAS = 3.5
 #: Members of a list that one task compares, and queries it takes at a time.
 BLOCK, CHUNK = 2048, 256
 
@@ -38,9 +34,6 @@ class Quantiser:
         sample = np.pad(sample, ((0, 0), (0, self.width - sample.shape[1])))
         self.centroids = kmeans(sample, lists, rounds, rng)
         residual = sample - self.centroids[nearest(sample, self.centroids)]
-        spread = residual.T @ residual
-        #: dimensions over which residuals spread; 1 where there are none
-        self.dimensions = max(1.0, float(np.trace(spread) ** 2 / max((spread**2).sum(), 1e-300)))
         squares = (self.centroids**2).sum(1)
         self.between = np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.centroids @ self.centroids.T, 1e-30))
         step = self.width // parts
@@ -112,10 +105,6 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     are one node that counts as many rows, so copies are never paired.  A row
     with a null id takes part; it is kept only where no other row of its
     component has an id.  An empty table gives an empty one.
-
-    Links that are given have the cosine exactly; few may be missed, as
-    :data:`SIGMAS` says (where residuals spread over no more than
-    ``SIGMAS ** 2`` dimensions, none).
     """
     keyed = materialise(_keyed(vectors, id_col, vector_col), "vectors")
     classes = keyed.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.first("raw").alias("raw"))
@@ -128,7 +117,6 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     width = max(map(len, sample))
     index = Quantiser(matrix(sample, width)[0], lists=min(1024, 2 * math.isqrt(n) + 1))
     radius = math.sqrt(2 - 2 * threshold) + 1e-9
-    reach = radius * min(1.0, SIGMAS / math.sqrt(index.dimensions))
     shipped = vectors.sparkSession.sparkContext.broadcast(index)  # at most 1024 centroids, their distances and 8 code books of 64
 
     def assign(batches):
@@ -140,7 +128,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 # what a longer vector has beyond the index's width adds to no distance below
                 square = (x**2).sum(1)[:, None] + (own.centroids**2).sum(1) - 2 * x @ own.centroids.T
                 home = square.argmin(1)
-                probes = (square - square[np.arange(len(home)), home][:, None]) / (2 * own.between[home]) <= reach
+                probes = (square - square[np.arange(len(home)), home][:, None]) / (2 * own.between[home]) <= radius
                 probes[np.arange(len(home)), home] = True
                 codes, error = own.encode(x - own.centroids[home])
                 row, at = np.nonzero(probes)

@@ -139,3 +139,20 @@ def test_embedding_recall_on_a_whole_table(spark):
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(frame).collect()}
     assert all(got[k] <= true[k] for k in true)
     assert sum(got.values()) >= 0.9 * sum(true.values())
+
+
+def test_embedding_links_along_cluster_directions(spark):
+    """Copies moved toward another cluster's centre end in its list; brute force finds the same links."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 64)) / 8
+    home, other = rng.integers(0, 60, 2000), rng.integers(0, 60, 2000)
+    x = centres[home] + (centres[other] - centres[home]) * rng.uniform(0.3, 0.6, 2000)[:, None] + rng.normal(size=(2000, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    copies = x + (centres[other] - centres[home]) / np.linalg.norm(centres[other] - centres[home] + 1e-9, axis=1)[:, None] * 0.3
+    vectors = np.concatenate([x, copies])
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(frame).collect()}
+    assert true.sum() > 2000
+    assert sum(got.values()) == true.sum() and all(got[k] == n for k, n in enumerate(true))
