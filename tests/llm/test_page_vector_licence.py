@@ -28,6 +28,23 @@ def test_layout(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<style>@media print {.x{display:none}} @media (max-width:600px){.side{display:none}}</style><p class=x>a</p><p class=side>b</p>", "a\n\nb"),
+        ("<style>@media screen and (min-width:600px){.x{display:none}} .y{color:red}</style><p class=x>a</p><p class=y>b</p>", "b"),
+        ("<style media=print>.x{display:none}</style><p class=x>a</p>", "a"),
+        ("<style>.x{display:none} .x{display:block} #k{display:none!important} p{display:block}</style><p class=x>a</p><p id=k>b</p>", "a"),
+        ("<style>p{display:none} .x{display:block}</style><p>a</p><p class=x>b</p><p style='display:block'>c</p>", "b\n\nc"),
+        ("<svg><title>t</title><defs><text>d</text></defs><rect/><g><text>one</text><text>two</text></g></svg>", "one two"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>", "x=2"),
+        ("<select><option>a<option selected>b</select>, <select><option>c<option>d</select>", "b, c"),
+    ],
+)
+def test_all_that_a_screen_shows(source, text):
+    assert html_text.visible_text(source) == text
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
