@@ -29,21 +29,22 @@ def vocabulary_fold(frequency: DataFrame) -> DataFrame:
     return frequency.groupBy(T.form_key(F.col("term")).alias("fold")).agg(F.sum("frequency").alias("frequency"), F.count("*").alias("spellings"))
 
 
-def ngrams(toks: Column, low: int, high: int) -> Column:
-    def of(n: int) -> Column:
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i + 1, F.lit(n)), " "))
+def phrase_attestation(lines: DataFrame, headwords: DataFrame, most: int = 16) -> DataFrame:
+    """How often each headword of 2 to ``most`` words occurs; lines are cut only where a first word occurs.
 
-    return F.flatten(F.array(*(of(n) for n in range(low, high + 1))))
-
-
-def phrase_attestation(lines: DataFrame, headwords: DataFrame, most: int = 3) -> DataFrame:
-    """How often each headword of 2 to ``most`` words occurs; lines are cut only where a first word occurs."""
+    ``n`` is null for longer headwords, which are not counted.
+    """
+    parts = F.split("phrase", " ")
     heads = headwords.select("phrase").distinct()
+    counting = heads.select("phrase", parts[0].alias("first"), F.size(parts).alias("size")).where(F.col("size").between(2, most))
+    sizes = counting.groupBy("first").agg(F.collect_set("size").alias("sizes"))
     own = once(lines.select("text"), "w", T.tokens(F.col("text")))
-    grams = own.select(F.explode(ngrams(F.col("w"), 2, most)).alias("phrase"))
-    counted = grams.join(heads, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n"))
-    return heads.join(counted, "phrase", "left").select("phrase", F.coalesce("n", F.lit(0)).alias("n"))
+    starts = own.select("w", F.posexplode("w").alias("pos", "first")).select("first", F.slice("w", F.col("pos") + 1, F.lit(most)).alias("run"))
+    fitting = F.filter("sizes", lambda n: n <= F.size("run"))
+    grams = starts.join(sizes, "first").select(F.explode(F.transform(fitting, lambda n: F.array_join(F.slice("run", F.lit(1), n), " "))).alias("phrase"))
+    counted = grams.join(counting.select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n"))
+    joined = heads.join(counted, "phrase", "left")
+    return joined.select("phrase", F.when(F.size(parts) <= most, F.coalesce("n", F.lit(0))).alias("n"))
 
 
 def affix_attestation(frequency: DataFrame, affixes: list[str]) -> DataFrame:
