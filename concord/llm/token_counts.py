@@ -177,7 +177,7 @@ class PrefixCounter:
         store.update((s, table[s]) for s in one)
         for s in two:
             counts = table[s[:-1]]
-            store[s] = counts + bytes([counts[-1] + 1]) if len(counts) < 255 else self._irregular(s)
+            store[s] = counts + bytes([counts[-1] + 1]) if isinstance(counts, bytes) else self._irregular(s)
         for s, own in more.items():
             total, out = 0, b""
             for w in own:
@@ -190,9 +190,9 @@ class PrefixCounter:
             store[s] = out
 
     def _irregular(self, segment: str) -> array:
-        """Counts by bytes of a segment that holds special strings, each one token."""
+        """Counts by bytes of a segment that holds long words, or special strings, each one token."""
         out, total, at = array("I"), 0, 0
-        for m in [*self.has_special.finditer(segment), None]:
+        for m in [*(self.has_special.finditer(segment) if self.has_special else ()), None]:
             part = segment[at : m.start() if m else len(segment)]
             for w in self.pattern.findall(part):
                 counts = self._word(w.encode())

@@ -17,6 +17,7 @@ def rows():
     base += [(None, "no id here", "en", "s1"), (None, "no id here", "en", "s1"), (200, None, "en", "s2"), (201, "", None, None), (202, " \n\t", "de", None)]
     base += [(203, "ein Wort und noch eins " * 2000, "de", "s2"), (204, "x" * 5000, "de", "s1"), (205, "?! 123\n\n", "de", "s1")]
     base += [(206, "Zwei  Räume <|endoftext|> don't we'll go é", "de", "s1"), (206, "Zwei  Räume <|endoftext|> don't we'll go é", "de", "s1"), (3, "same id, other text", "en", "s0")]
+    base += [(207, "日" * 17 + ". und " + "Donaudampfschifffahrtselektrizitätenhauptbetriebswerk" * 2 + ", " + "x" * 60 + "!", "de", "s2")]
     return [(i, t, lang, s, len(t) if t else None, "a", "b", "c") for i, t, lang, s in base]
 
 

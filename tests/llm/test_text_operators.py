@@ -224,6 +224,18 @@ def test_counts_match_the_library_at_every_prefix(text):
 CACHE: list = []
 
 
+@pytest.mark.parametrize("letter", ["x", "日", "ß", "ab", "1", "Überseeschifffahrt"])
+def test_counts_match_the_library_on_long_words_with_marks(letter):
+    """Words of 1 to 300 bytes, bare or between marks: each way a segment is counted."""
+    library, own = Tokenizer.from_file(BYTES), token_counts.counter(BYTES)
+    for size in [*range(1, 8), *range(40, 60), 126, 127, 128, 200, 252, 253, 254, 255, 256, 257, 300]:
+        word = (letter * size)[: max(1, size // len(letter[0].encode()))]
+        for text in [word, *(word + mark for mark in ".,;:!?"), f"the {word}, and {word}! {word}'s", f"<|endoftext|>{word}.", f"({word})\n{word}"]:
+            want = len(library.encode(text, add_special_tokens=False))
+            assert own.count(text) == want, (letter, size, text[-3:])
+            assert own.prefix_counts(text)[-1] == want
+
+
 def test_token_counts_and_budgets(docs, rows):
     library = Tokenizer.from_file(BYTES)
     size = lambda t: len(library.encode(t or "", add_special_tokens=False))
