@@ -212,7 +212,7 @@ def cognates(c: Column, most: int = 8) -> Column:
 def speaker_name(code: Column, authors: Column) -> Column:
     """The one author whose capitals hold the code's letters in order; else the code."""
     pattern = F.concat(F.lit("^"), F.array_join(F.transform(F.split(F.upper(code), ""), lambda x: F.concat(F.lit(".*"), x)), ""))
-    fits = F.filter(F.transform(F.split(authors, r"\s*[&;]\s*"), F.trim), lambda a: F.regexp_replace(a, "[^A-Z]", "").rlike(pattern))
+    fits = F.filter(F.transform(F.split(authors, r"\s*[&;]\s*"), lambda x: F.trim(x)), lambda a: F.regexp_replace(a, "[^A-Z]", "").rlike(pattern))
     return F.when(F.size(fits) == 1, fits[0]).otherwise(code)
 
 
