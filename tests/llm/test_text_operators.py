@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -264,12 +265,92 @@ def test_language_forward_sums_all_segmentations():
         assert np.allclose(row, want)
 
 
+def plain_sums(word, p, pieces):
+    """Log sum over all segmentations of a word, by definition, in logarithms."""
+    alpha = [0.0] + [None] * len(word)
+    for i in range(1, len(word) + 1):
+        terms = [alpha[j] + np.log(p[pieces[word[j:i]]]) for j in range(max(0, i - 48), i) if word[j:i] in pieces]
+        alpha[i] = np.logaddexp.reduce(terms)
+    return alpha
+
+
+def plain_words(text):
+    for part in (text or "").split():
+        low = part.lower()
+        keep = [k for k, c in enumerate(low) if unicodedata.category(c)[0] in "LM"]
+        word = low[keep[0] : keep[-1] + 1] if keep else ""
+        if any(unicodedata.category(c)[0] == "L" for c in word):
+            yield ("▁" + word).encode()
+
+
+def plain_model(labelled, vocabulary, rounds=4, smoothing=0.05):
+    start = np.exp(-1.5 * np.array([len(x) for x in vocabulary]))
+    at = {x: k for k, x in enumerate(vocabulary)}
+    out = {}
+    for lang in sorted({lang for _, lang in labelled}):
+        p, counts = start / start.sum(), Counter(w for t, own in labelled if own == lang for w in plain_words(t))
+        for _ in range(rounds):
+            expected = np.full(len(vocabulary), smoothing)
+            for word, n in counts.items():
+                ahead = plain_sums(word, p, at)
+                behind = plain_sums(word[::-1], p, {x[::-1]: k for x, k in at.items()})[::-1]
+                for j in range(len(word)):
+                    for i in range(j + 1, min(len(word), j + 48) + 1):
+                        if (k := at.get(word[j:i])) is not None:
+                            expected[k] += n * np.exp(ahead[j] + np.log(p[k]) + behind[i] - ahead[-1])
+            p = expected / expected.sum()
+        out[lang] = p
+    return out, at
+
+
+ODD = ["ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนและเป็นภาษาราชการของประเทศไทย", "我们认为这些真理是不言而喻的人人生而平等" * 6, "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft", "ψηφ" * 60, "the\tand\u00a0of", "½ ² ① Ⅷ 12 _ !", "x", "", None]
+
+
+def test_language_model_matches_brute_force(spark):
+    """Training and the whole query, word for word by definition: long words, scripts without blanks, no letters."""
+    vocabulary = sorted({"▁".encode(), *(x.encode() for x in ("▁the", "the", "▁der", "er", "an", "▁an", "und", "schiff", "ภาษา", "ไทย", "我们", "不言而喻", "평", "ψη", "φψ"))}) + [bytes([k]) for k in range(256)]
+    labelled = [("The and of the other " + ODD[0], "en"), ("der und die Fahrt " + ODD[2] + " " + ODD[3][:60], "de"), ("les et des bateaux " + ODD[1][:30], "fr")]
+    model, (want, at) = language.fit(labelled, vocabulary), plain_model(labelled, vocabulary)
+    for k, lang in enumerate(model.languages):
+        assert np.allclose(model.probability[:, k], want[lang], rtol=1e-9, atol=1e-15)
+    texts = [*ODD, *(t for t, _ in labelled), " ".join(x or "" for x in ODD)]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, "und")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    for k, text in enumerate(texts):
+        words = list(plain_words(text))
+        logs = np.array([sum(plain_sums(w, want[lang], at)[-1] for w in words) for lang in model.languages])
+        odds = np.exp(logs - logs.max())
+        letters = any(unicodedata.category(c)[0] == "L" for c in text or "")
+        assert got[k].lang_pred == (model.languages[int(logs.argmax())] if letters else "und"), text
+        assert abs(got[k].score - (odds.max() / odds.sum() if letters else 0)) < 1e-9
+
+
+def test_unseen_letters_do_not_underflow():
+    """48 bytes that no language has seen still differ between languages of different sizes."""
+    pieces = ["▁".encode()] + [bytes([k]) for k in range(256)]
+    p = np.full((len(pieces), 2), 1e-9)
+    p[0], p[1 + ord("a")] = (0.9, 0.5), (0.1 - 2.6e-7, 0.5 - 2.6e-7)
+    model = language.PieceModel(pieces, ["x", "y"], p)
+    word = "ъ" * 22
+    got = model.score([word, word * 3])
+    assert np.allclose(got[:, 0] - got[:, 1], np.log(0.9 / 0.5)) and np.allclose(got[0], np.log(p[0]) + 44 * np.log(1e-9))
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    """Labels of documents that training may not see; the tables hold junk and misplaced copies too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs, P.path("piece_bpe_32k.model"))
+    rows = language.identify(docs.where(~language.learnable()), model).where("lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len(rows) > 250 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
 def test_language_identification(spark, docs):
     made = [(k, ("der und ist nicht ein " if k % 2 else "the and of with this ") * 20, "de" if k % 2 else "en") for k in range(60)]
     model = language.train(spark.createDataFrame(made, "doc_id long, text string, lang string"), P.path("piece_bpe_32k.model"))
     got = {(r.doc_id, r.text): r for r in language.identify(docs, model).collect()}
     assert {r.lang_pred for r in got.values()} <= {"en", "de", "und"}
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) and 0 <= r.score <= 1 for r in got.values())
+    letter = lambda t: any(unicodedata.category(c)[0] == "L" for c in t or "")
+    assert all((r.lang_pred == "und") == (not letter(r.text)) and 0 <= r.score <= 1 for r in got.values())
     assert got[203, "ein Wort und noch eins " * 2000].lang_pred == "de"
     assert all(r.lang_pred == "und" for r in language.identify(docs, None).collect())
 
