@@ -18,11 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder
-    takes its place.
+    Where the session names none, a temporary folder takes its place if driver
+    and executors are one process, as in tests; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="concord-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,6 +49,33 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables that a computation writes on its way; all but those its result still reads go at its end."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(materialise(df, name))
+        return self.made[-1]
+
+    def clear(self, *keep: DataFrame) -> None:
+        for df in self.made:
+            if not any(df is k for k in keep):
+                discard(df)
+        self.made = list(keep)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the schema given as DDL."""
     return df.mapInArrow(fn, schema)
@@ -74,19 +104,23 @@ def add_schema(df: DataFrame, *extra: tuple[str, T.DataType]) -> T.StructType:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for undirected ``(src, dst)`` edges of longs.
 
-    Alternates large-star and small-star steps until no edge changes.  Every
+    Alternates large-star and small-star steps until no edge changes; rounds
+    grow with the logarithm of the longest chain, and it is an error if
+    ``max_rounds`` are not enough.  Every
     step is an aggregate with map-side combine plus an equi-join of tables just
     read from storage, so Spark can split the join of a hub.  A round's edges
     are written to the shared folder; nothing reaches the driver but two
     numbers.  Nodes without edges do not appear; an empty table gives an empty
-    table.
+    table.  The result is a written table.
     """
     current = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
         seen = state
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -101,4 +135,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(current)
         current = after
     labels = current.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return labels.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    labels = materialise(labels.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+    discard(current)
+    return labels

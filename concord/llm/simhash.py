@@ -1,28 +1,36 @@
 """SimHash fingerprints and their near-duplicate groups.
 
-Fingerprints that differ in at most ``budget`` bits agree in one of ``budget``
-+ 1 blocks, so each is dealt once for each block.  Within a block's group a
-binary trie is joined with itself: pairs of nodes go down together, differing
-bits add up, and a pair is dropped once they exceed the budget.  Groups above
-``HOT`` rows are dealt by pairs of trie nodes eight bits further down.  A task
-gives a spanning forest of the links it finds, never all pairs.
+Fingerprints that differ in at most ``budget`` bits agree in all but ``budget``
+of any number of blocks, so each is dealt once for each choice of the others;
+more fingerprints take more and smaller blocks, hence longer keys.  Within a
+key's group a binary trie is joined with itself: pairs of nodes go down
+together, differing bits add up, and a pair is dropped once they exceed the
+budget, or where all rows below it are connected already.  Groups above ``HOT``
+rows are dealt by pairs of parts.  A task gives a spanning forest of the links
+it finds, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import connected_components, hold, materialise
+from concord.llm.shared import Scratch, connected_components, discard, free_names, hold
 
-HOT = 4096
+#: Rows that a key's group has on average at most, and rows above which one is dealt by pairs of parts.
+GROUP, HOT = 65_536, 200_000
 #: Rows a task joins at a time, and node pairs that it holds at a time.
 ROWS, PAIRS = 100_000, 400_000
+#: Links after which a task looks again at what is connected.
+SETTLE = 200_000
+#: Hot keys that are broadcast; more are joined by a shuffle.
+FEW_KEYS = 10_000
 #: Members of a candidate group that are compared in one task; larger groups are dealt by pairs of parts.
 PART = 512
 
@@ -68,14 +76,20 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hash(text: str | None) -> bytes:
+    """128 bits of the word sequence; zeros where there is no word."""
+    words = (text or "").encode().lower().split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else bytes(16)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """``(id_col, sig, text_hash, first)``; with ``distinct``, repeats of a shingle do not count.
 
     ``sig`` joins ``parts`` little-endian 64-bit fingerprints, ``first`` is the
-    first of them, and ``text_hash`` a hash of the word sequence.
+    first of them, and ``text_hash`` a 128-bit hash of the word sequence.
 
-    A null or empty text, or one without words, has fingerprint 0 and text
-    hash 0.  Every row gives a row, whatever its id.
+    A null or empty text, or one without words, has fingerprint 0 and a text
+    hash of zeros.  Every row gives a row, whatever its id.
     """
 
     def run(batches):
@@ -86,11 +100,11 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, id_col: str =
                 texts = part.column(1).to_pylist()
                 hashes = [np.unique(h) if distinct else h for h in (shingle_hashes(t, words) for t in texts)]
                 sig = np.stack([majorities([mixed(h, k) for h in hashes]) for k in range(parts)], 1)
-                whole = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().lower().split())) if len(h) else 0 for t, h in zip(texts, hashes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(sig[:, 0].view(np.int64))], names=[id_col, "sig", "text_hash", "first"])
+                whole = list(map(word_hash, texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(whole, pa.binary()), pa.array(sig[:, 0].view(np.int64))], names=[id_col, "sig", "text_hash", "first"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sig binary, text_hash long, first long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, sig binary, text_hash binary, first long")
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,12 +121,13 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_join(values: np.ndarray, frames: list[tuple[int, np.ndarray]], budget: int, near=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(values: np.ndarray, frames: list[tuple[int, np.ndarray]], budget: int, near: Callable | None = None, settled: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs within the budget, below pairs of trie nodes.
 
     ``values`` are sorted within each node.  A frame is a bit position and an
     array ``[5, pairs]``: both nodes' row ranges, and bits that differ above.
-    ``near(a, b)`` may reject row pairs further.
+    ``near(a, b)`` may reject row pairs further, ``settled(lo1, hi1, lo2, hi2)``
+    node pairs that need no look.
     """
     ones: dict[int, np.ndarray] = {}
     stack = list(frames)
@@ -121,26 +136,28 @@ def trie_join(values: np.ndarray, frames: list[tuple[int, np.ndarray]], budget:
         if pairs.shape[1] > PAIRS:
             stack += [(bit, pairs[:, k : k + PAIRS]) for k in range(0, pairs.shape[1], PAIRS)]
             continue
+        if settled is not None:
+            pairs = pairs[:, ~settled(*pairs[:4])]
         lo1, hi1, lo2, hi2, differ = pairs
         n1, n2, same = hi1 - lo1, hi2 - lo2, lo1 == lo2
         small = (n1 * n2 <= 36) | (bit < 0)
         if small.any():
             rows = np.nonzero(small)[0]
             each = (n1 * n2)[rows]
+            # a pair of nodes without bits left can be large: its left rows are taken some at a time
+            steps = np.maximum(1, (1 << 20) // np.maximum(n2[rows], 1))
             for lo in range(0, len(rows), 1 << 16):
                 own, size = rows[lo : lo + (1 << 16)], each[lo : lo + (1 << 16)]
-                at = np.repeat(own, size)
-                step = np.arange(len(at)) - np.repeat(size.cumsum() - size, size)
-                a, b = lo1[at] + step // n2[at], lo2[at] + step % n2[at]
-                good = ~same[at] | (a < b)
-                a, b = a[good], b[good]
-                good = np.bitwise_count(values[a] ^ values[b]) <= budget
-                a, b = a[good], b[good]
-                if near is not None and len(a):
-                    good = near(a, b)
-                    a, b = a[good], b[good]
-                if len(a):
-                    yield a, b
+                large = size > 1 << 20
+                yield from _checked(values, lo1, lo2, n2, same, own[~large], size[~large], budget, near)
+                for at, step in zip(own[large].tolist(), steps[lo : lo + (1 << 16)][large].tolist(), strict=True):
+                    for first in range(int(lo1[at]), int(hi1[at]), step):
+                        last = min(first + step, int(hi1[at]))
+                        if settled is not None and settled(*(np.array([x]) for x in (first, last, lo2[at], hi2[at])))[0]:
+                            continue
+                        a = np.repeat(np.arange(first, last), n2[at])
+                        b = np.tile(np.arange(lo2[at], hi2[at]), len(a) // int(n2[at]))
+                        yield from _links(values, a, b, a < b if same[at] else slice(None), budget, near)
             keep = ~small
             lo1, hi1, lo2, hi2, differ, same = lo1[keep], hi1[keep], lo2[keep], hi2[keep], differ[keep], same[keep]
         if not len(lo1):
@@ -159,40 +176,119 @@ def trie_join(values: np.ndarray, frames: list[tuple[int, np.ndarray]], budget:
             stack.append((bit - 1, down))
 
 
-def join_groups(key: np.ndarray, cell: np.ndarray, values: np.ndarray, width: int, block: int, budget: int, near=None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each (key, cell) group of sorted rows."""
+def _checked(values, lo1, lo2, n2, same, own, size, budget, near):
+    """Linked row pairs below small pairs of nodes."""
+    ends = size.cumsum()
+    for lo, hi in _runs(ends, 1 << 21):
+        part, n = own[lo:hi], size[lo:hi]
+        at = np.repeat(part, n)
+        step = np.arange(len(at)) - np.repeat(n.cumsum() - n, n)
+        a, b = lo1[at] + step // n2[at], lo2[at] + step % n2[at]
+        yield from _links(values, a, b, ~same[at] | (a < b), budget, near)
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges whose sizes add up to some ``most``."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _links(values, a, b, wanted, budget, near):
+    a, b = a[wanted], b[wanted]
+    good = np.bitwise_count(values[a] ^ values[b]) <= budget
+    a, b = a[good], b[good]
+    if near is not None and len(a):
+        good = near(a, b)
+        a, b = a[good], b[good]
+    if len(a):
+        yield a, b
+
+
+def join_groups(key: np.ndarray, cell: np.ndarray, part: np.ndarray, values: np.ndarray, bit: int, budget: int, near: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within each (key, cell) group of rows sorted by part and value.
+
+    A cell of two parts has pairs across them only.
+    """
     n = len(key)
     starts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))[0] + 1])
     ends = np.append(starts[1:], n)
-    own, frames = cell[starts], []
-    plain = own < 0
-    frames.append((width - block - 1, np.stack([starts[plain], ends[plain], starts[plain], ends[plain], np.zeros(plain.sum(), np.int64)])))
-    split = np.nonzero(~plain)[0]
-    if len(split):
-        p, q = own[split] >> 8, own[split] & 255
-        lo, hi = starts[split], ends[split]
-        first = ((values >> np.uint64(width - block - 8)) & np.uint64(255)).astype(np.int64)
-        #: rows of the group whose next byte is the smaller one come first
-        is_q = np.concatenate([[0], (first == np.repeat(own & 255, ends - starts)).astype(np.int64).cumsum()])
-        mid = np.where(p == q, lo, hi - (is_q[hi] - is_q[lo]))
-        differ = np.bitwise_count((p ^ q).astype(np.uint64)).astype(np.int64)
-        frames.append((width - block - 9, np.stack([lo, np.where(p == q, hi, mid), np.where(p == q, lo, mid), hi, differ])))
+    # a negative cell is a whole group; others name their two parts
+    two = (cell[starts] >= 0) & (cell[starts] >> 20 != cell[starts] & (1 << 20) - 1)
+    first = np.concatenate([[0], (part == np.repeat(part[starts], ends - starts)).astype(np.int64).cumsum()])
+    mid = np.where(two, starts + first[ends] - first[starts], ends)
+    useful = ~two | (mid < ends)
+    frame = np.stack([starts, mid, np.where(two, mid, starts), ends, np.zeros(len(starts), np.int64)])[:, useful]
+    label = np.arange(n)
+    change = np.arange(n)
+
+    def settled(lo1, hi1, lo2, hi2):
+        return (label[lo1] == label[lo2]) & (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2])
+
+    def apart(a, b):
+        open_ = label[a] != label[b]
+        if near is not None:
+            open_[open_] = near(a[open_], b[open_])
+        return open_
+
     found_a, found_b, held = [], [], 0
-    for a, b in trie_join(values, [f for f in frames if f[1].shape[1]], budget, near):
+
+    def connect():
+        rows = np.nonzero(label != np.arange(n))[0]
+        label[:] = spanning(n, np.concatenate([rows, *found_a]), np.concatenate([label[rows], *found_b]))
+        change[1:] = (label[1:] != label[:-1]).cumsum()
+        change[:1] = 0
+        found_a.clear()
+        found_b.clear()
+
+    for a, b in trie_join(values, [(bit, frame)] if frame.shape[1] else [], budget, apart, settled):
         found_a.append(a)
         found_b.append(b)
         held += len(a)
-        if held > 2_000_000:
-            label = spanning(n, np.concatenate(found_a), np.concatenate(found_b))
-            rows = np.nonzero(label != np.arange(n))[0]
-            found_a, found_b, held = [rows], [label[rows]], len(rows)
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    label = spanning(n, np.concatenate(found_a), np.concatenate(found_b))
+        if held > SETTLE:
+            connect()
+            held = 0
+    connect()
     rows = np.nonzero(label != np.arange(n))[0]
     return rows, label[rows]
 
 
+def block_sizes(n: int, width: int, budget: int) -> list[int]:
+    """Bits of the blocks that ``n`` fingerprints are dealt by: the fewest whose keys leave ``GROUP`` rows each."""
+    for count in range(budget + 1, width // 2 + 1):
+        sizes = [width // count + (k < width % count) for k in range(count)]
+        if n >> sum(sorted(sizes)[: count - budget]) <= GROUP:
+            break
+    return sizes
+
+
+def deal(nodes: DataFrame, sizes: list[int], width: int, tables: int, budget: int, carry: int | None = None, carried: bool = False) -> DataFrame:
+    """``(key, node, value)``, a row for each table and choice of blocks, the chosen ones first in ``value``; with ``carried`` also ``sig``."""
+    lows = [width - sum(sizes[: k + 1]) for k in range(len(sizes))]
+    choices = list(combinations(range(len(sizes)), len(sizes) - budget))
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = batch.column(1).to_pylist()
+            short = [pa.array([x[:carry] for x in raw], pa.binary())] if carried else []
+            sig = np.frombuffer(b"".join(raw), f"<u{width // 8}").reshape(len(batch), -1)[:, :tables].astype(np.uint64)
+            for t in range(tables):
+                blocks = [(sig[:, t] >> np.uint64(low)) & np.uint64((1 << size) - 1) for low, size in zip(lows, sizes, strict=True)]
+                for c, chosen in enumerate(choices):
+                    value, key = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64)
+                    for k in (*chosen, *(k for k in range(len(sizes)) if k not in chosen)):
+                        value = value << np.uint64(sizes[k]) | blocks[k]
+                        if k == chosen[-1]:
+                            key = (value + np.uint64((t * len(choices) + c) << 44)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(value.view(np.int64)), *short], names=["key", "node", "value", *["sig"] * carried])
+
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long, value long" + ", sig binary" * carried)
+
+
 def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget: int | None = None, carry: int | None = None) -> DataFrame:
     """``(src, dst)`` edges that connect nodes with a fingerprint within the budget.
 
@@ -201,39 +297,39 @@ def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget
     whole signatures, or their first ``carry`` bytes, must also differ in at
     most so many bits.
     """
-    block = width // (budget + 1)
-    carried = ["sig"] if sig_budget is not None else []
-
-    def deal(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            short = [pa.array([x[:carry] for x in batch.column(1).to_pylist()], pa.binary())] if carried else []
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{width // 8}").reshape(len(batch), -1)[:, :tables].astype(np.uint64)
-            for t in range(tables):
-                for r in range(budget + 1):
-                    value = sig[:, t]
-                    turn, mask = np.uint64(block * r), np.uint64((1 << width) - 1)
-                    turned = ((value << turn) | (value >> (np.uint64(width) - turn if r else np.uint64(0)))) & mask if r else value
-                    key = np.int64((t * (budget + 1) + r) << block) + (turned >> np.uint64(width - block)).astype(np.int64)
-                    columns = [pa.array(key), batch.column(0), pa.array(turned.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*columns, *short], names=["key", "node", "value", *carried])
+    carried = sig_budget is not None
+    sizes = block_sizes(nodes.count(), width, budget)
+    dealt = deal(nodes, sizes, width, tables, budget, carry, carried)
+    choices = list(combinations(range(len(sizes)), len(sizes) - budget))
+    # the first bit below the key differs with the choice, so each is joined at its own
+    below = np.array([width - sum(sizes[k] for k in chosen) - 1 for chosen in choices])
 
     def join(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def work(table: pa.Table) -> pa.RecordBatch:
-            key, cell, node, value = (table.column(c).to_numpy() for c in ("key", "cell", "node", "value"))
+            key, cell, part, value = (table.column(c).to_numpy() for c in ("key", "cell", "part", "value"))
             near = None
             if carried:
                 whole = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(key), -1)
 
                 def near(a, b):
-                    return np.bitwise_count(whole[a] ^ whole[b]).sum(1) <= sig_budget
-
-            a, b = join_groups(key, cell, value.view(np.uint64), width, block, budget, near)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["src", "dst"])
+                    out = np.zeros(len(a), bool)
+                    for lo in range(0, len(a), 1 << 18):
+                        i, j = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
+                        out[lo : lo + len(i)] = np.bitwise_count(whole[i] ^ whole[j]).sum(1) <= sig_budget
+                    return out
+
+            bits, pairs = below[(key >> 44) % len(choices)], []
+            for bit in np.unique(bits):
+                own = np.nonzero(bits == bit)[0]
+                mine = (lambda a, b, own=own: near(own[a], own[b])) if near else None
+                a, b = join_groups(key[own], cell[own], part[own], value[own].view(np.uint64), int(bit), budget, mine)
+                pairs.append((own[a], own[b]))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            node = table.column("node").combine_chunks()
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["src", "dst"])
 
         for batch in batches:
             held.append(batch)
@@ -250,20 +346,19 @@ def links(nodes: DataFrame, width: int, tables: int, budget: int = 3, sig_budget
         if rows:
             yield work(pa.Table.from_batches(held))
 
-    schema = "key long, node long, value long" + ", sig binary" * bool(carried)
-    dealt = nodes.select("node", "sig").mapInArrow(deal, schema)
-    sized = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    cold = sized.where(F.col("n") <= HOT).withColumn("cell", F.lit(-1).cast("long"))
-    # eight bits further down, a row meets the nodes that differ in at most ``budget`` of them
-    masks = [m for m in range(256) if m.bit_count() <= budget]
-    byte = F.shiftrightunsigned("value", width - block - 8).bitwiseAND(255)
-    other = F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))
-    hot = sized.where(F.col("n") > HOT).withColumn("p", byte).withColumn("m", other).withColumn("q", F.col("p").bitwiseXOR(F.col("m")))
-    hot = hot.withColumn("cell", F.least("p", "q") * 256 + F.greatest("p", "q")).drop("p", "q", "m").repartition("key", "cell")
-    order = [F.col("key"), F.col("cell"), F.shiftrightunsigned("value", 1), F.col("value")]
-    columns = ["key", "cell", "node", "value", *carried]
-    found = [x.select(*columns).sortWithinPartitions(*order).mapInArrow(join, "src long, dst long") for x in (cold, hot)]
-    return found[0].union(found[1])
+    counted = deal(nodes, sizes, width, tables, budget).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    scratch = Scratch()
+    hot = scratch.write(counted.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    many = hot.count()
+    if many:
+        sized = dealt.join(F.broadcast(hot) if many <= FEW_KEYS else hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: (F.least("part", q) * (1 << 20) + F.greatest("part", q)).cast("long"))
+        placed = sized.withColumn("cell", F.explode(F.coalesce(pairs, F.array(F.lit(-1).cast("long"))))).drop("parts").repartition("key", "cell")
+    else:
+        placed = dealt.withColumns({"part": F.lit(0), "cell": F.lit(-1).cast("long")}).repartition("key")
+        scratch.clear()
+    order = [F.col("key"), F.col("cell"), F.col("part"), F.shiftrightunsigned("value", 1), F.col("value")]
+    return placed.select("key", "cell", "part", "node", "value", *["sig"] * carried).sortWithinPartitions(*order).mapInArrow(join, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,13 +370,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3, id_col: st
     with a null id takes part; a component of null ids alone has a null id.
     Equal rows give equal rows; an empty table gives an empty one.
     """
-    prints = materialise(fingerprints(docs, words, 1, id_col, text_col).select(id_col, F.col("first").alias("node"), "sig"), "prints")
-    nodes = materialise(prints.groupBy("node").agg(F.first("sig").alias("sig"), F.min(id_col).alias("low")), "nodes")
+    scratch = Scratch()
+    prints = scratch.write(fingerprints(docs, words, 1, id_col, text_col).select(F.col(id_col).alias("id"), F.col("first").alias("node"), "sig"), "prints")
+    nodes = scratch.write(prints.groupBy("node").agg(F.first("sig").alias("sig"), F.min("id").alias("low")), "nodes")
     labels = connected_components(links(nodes, 64, 1, budget))
-    owned = nodes.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lowest = owned.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = materialise(owned.select(F.col("node").alias("own"), "component").join(materialise(lowest, "lowest"), "component").select("own", "component_id"), "named")
-    return prints.join(named, F.col("node") == F.col("own")).select(id_col, F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    owned = scratch.write(nodes.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")), "owned")
+    lowest = scratch.write(owned.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    named = scratch.write(owned.select(F.col("node").alias("own"), "component").join(lowest, "component").select("own", "component_id"), "named")
+    scratch.clear(prints, named)
+    discard(labels)
+    return prints.join(named, F.col("node") == F.col("own")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def exact_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, least: float, sig_budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,17 +420,17 @@ def exact_links(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, leas
     return rows, label[rows]
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, least: float, sig_budget: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, scratch: Scratch, words: int, least: float, sig_budget: int, id_col: str, text_col: str) -> DataFrame:
     """``(src, dst)`` edges that connect nodes of a group by exact Jaccard similarities of their shingle sets.
 
     ``groups`` has ``node`` and ``component``.  A group of more than ``PART``
     nodes is dealt by pairs of its parts.
     """
-    sized = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = groups.join(materialise(sized, "sized"), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = materialise(nodes.join(members, "node"), "members")
-    texts = _with_text_hash(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")), "text")
-    rows = texts.join(members, (F.col("_h") == F.col("node")) & F.col("i").eqNullSafe(F.col("low")))
+    sized = scratch.write(groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sized")
+    members = groups.join(sized, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = scratch.write(nodes.join(members, "node"), "members")
+    texts = _with_word_hash(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")), "text", "h")
+    rows = texts.join(members, (F.col("h") == F.col("text_hash")) & F.col("i").eqNullSafe(F.col("low")))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y"))))
     cells = rows.select("component", "node", "sig", "part", "text", pairs.alias("c")).select("component", "c.x", "c.y", "part", "node", "sig", "text")
 
@@ -376,36 +474,44 @@ def deduplicate(docs: DataFrame, words: int = 5, parts: int = 10, tables: int =
     only where the signatures miss it.
 
     Texts with equal word sequences are one node; so are all texts without
-    words.  A null id counts as the largest.  Of equal rows one stays.  An
-    empty table gives an empty one.
+    words, null ones among them.  Texts of any length are compared whole.  A
+    null id counts as the largest; of texts that share the smallest id the one
+    with the smallest hash stays, and of equal rows one, whatever their other
+    columns hold.  Other columns keep their names and values; an empty table
+    gives an empty one.
     """
-    prints = materialise(fingerprints(docs, words, parts, id_col, text_col, distinct=True), "prints")
-    low = F.min_by(F.col(id_col), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)))
-    nodes = materialise(prints.groupBy(F.col("text_hash").alias("node")).agg(F.first("sig").alias("sig"), low.alias("low")), "nodes")
-    groups = materialise(connected_components(links(nodes, 32, tables, 3, carry_budget, 24)), "groups")
-    labels = connected_components(confirmed(docs, nodes, groups, words, least, sig_budget, id_col, text_col))
-    owned = nodes.select("node", "low").join(labels, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    winner = F.min_by(F.struct("node", "low"), F.struct(F.col("low").isNull(), "low", "node"))
-    kept = owned.groupBy("component").agg(winner.alias("w")).select(F.col("w.node").alias("_n"), F.col("w.low").alias("_i"))
+    scratch = Scratch()
+    prints = scratch.write(fingerprints(docs, words, parts, id_col, text_col, distinct=True).select(F.col(id_col).alias("id"), "sig", "text_hash"), "prints")
+    low = F.min_by("id", F.coalesce(F.col("id"), F.lit((1 << 63) - 1)))
+    # numbered once, as written: each distinct text is a node of its own
+    distinct_texts = prints.groupBy("text_hash").agg(F.first("sig").alias("sig"), low.alias("low"))
+    nodes = scratch.write(distinct_texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    groups = connected_components(links(nodes, 32, tables, 3, carry_budget, 24))
+    labels = connected_components(confirmed(docs, nodes, groups, scratch, words, least, sig_budget, id_col, text_col))
+    owned = nodes.select("node", "text_hash", "low").join(labels, "node", "left").select("text_hash", "low", F.coalesce("component", "node").alias("component"))
+    winner = F.min_by(F.struct("text_hash", "low"), F.struct(F.col("low").isNull(), "low", "text_hash"))
+    h, n, i, c = free_names(docs, "h", "n", "i", "c")
+    kept = owned.groupBy("component").agg(winner.alias("w")).select(F.col("w.text_hash").alias(n), F.col("w.low").alias(i))
     # rows equal in id and words: one of them stays
-    copies = prints.groupBy(F.col(id_col).alias("_ri"), F.col("text_hash").alias("_rn")).agg(F.count("*").alias("_c"))
-    kept = materialise(kept.join(copies, (F.col("_n") == F.col("_rn")) & F.col("_i").eqNullSafe(F.col("_ri"))).select("_n", "_i", "_c"), "kept")
-    keyed = _with_text_hash(docs, text_col)
-    rows = keyed.join(kept, (F.col("_h") == F.col("_n")) & F.col(id_col).eqNullSafe(F.col("_i")))
-    names = [f"`{c}`" for c in docs.columns]
-    single = rows.where("_c = 1").select(*names)
-    several = rows.where("_c > 1").dropDuplicates(["_n"]).select(*names)
+    copies = prints.groupBy(F.col("id").alias("ri"), F.col("text_hash").alias("rn")).agg(F.count("*").alias(c))
+    kept = scratch.write(kept.join(copies, (F.col(n) == F.col("rn")) & F.col(i).eqNullSafe(F.col("ri"))).select(n, i, c), "kept")
+    scratch.clear(kept)
+    discard(groups)
+    discard(labels)
+    keyed = _with_word_hash(docs, text_col, h)
+    rows = keyed.join(kept, (F.col(h) == F.col(n)) & F.col(f"`{id_col}`").eqNullSafe(F.col(i)))
+    names = [f"`{x}`" for x in docs.columns]
+    single = rows.where(F.col(c) == 1).select(*names)
+    several = rows.where(F.col(c) > 1).dropDuplicates([n]).select(*names)
     return single.union(several)
 
 
-def _with_text_hash(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_word_hash(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            words = [(t or "").encode().lower().split() for t in batch.column(at).to_pylist()]
-            whole = [xxhash.xxh3_64_intdigest(b" ".join(w)) if w else 0 for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(whole, np.uint64).view(np.int64))], names=[*batch.schema.names, "_h"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(word_hash, batch.column(at).to_pylist())), pa.binary())], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, _h long")
+    return docs.mapInArrow(run, f"{kinds}, `{name}` binary")

@@ -13,6 +13,7 @@ import xxhash
 from concord.llm import language, line_dedup, media, mixing, packing, simhash, token_counts
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -48,12 +49,16 @@ def test_simhash_matches_brute_force(docs, rows):
     assert got == Counter((r[0], f"{f:016x}", low[k]) for r, f, k in zip(rows, prints, roots, strict=True))
 
 
-@pytest.mark.parametrize("hot", [4096, 20])
-def test_trie_join_finds_every_link(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("group", "hot"), [(65_536, 200_000), (65_536, 9), (4, 200_000), (1, 3)])
+def test_trie_join_finds_every_link(spark, monkeypatch, group, hot):
+    """Whole groups, groups dealt by pairs of parts, and longer keys of more blocks give the same components."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SETTLE", 50)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 3, 4, 6)]
+    flips += [int(base[0]) ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 64, (120, 2))]
     values = sorted(set(flips))
     nodes = spark.createDataFrame([(k, bytearray(int(v).to_bytes(8, "little"))) for k, v in enumerate(values)], "node long, sig binary")
     edges = [(r.src, r.dst) for r in simhash.links(nodes, 64, 1, 3).collect()]
@@ -63,6 +68,28 @@ def test_trie_join_finds_every_link(spark, monkeypatch, hot):
     for k, w in enumerate(want):
         groups[w].add(int(label[k]))
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(label.tolist()))
+    assert all((values[a] ^ values[b]).bit_count() <= 64 for a, b in edges)
+
+
+def test_a_large_group_of_equal_tables_is_joined_without_all_pairs():
+    """Rows that are all linked settle: node pairs below them are passed over."""
+    n = 30_000
+    seen = []
+    near = lambda a, b: seen.append(len(a)) or np.ones(len(a), bool)
+    rows, label = simhash.join_groups(np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64), np.full(n, 5, np.uint64), 31, 3, near)
+    assert len(rows) == n - 1 and sum(seen) < n * n / 50
+
+
+def test_dealt_rows_for_each_text_stay_the_same(spark):
+    """Two million signatures are dealt as often as twenty thousand; far more take more blocks, step by step."""
+    for n in (20_000, 2_000_000):
+        sig = F.concat(F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")), F.unhex(F.lpad(F.hex(F.xxhash64("id", F.lit(1))), 16, "0")))
+        nodes = spark.range(n).select(F.col("id").alias("node"), sig.alias("sig"))
+        dealt = simhash.deal(nodes, simhash.block_sizes(n, 32, 3), 32, 2, 3)
+        largest = dealt.groupBy("key").count().agg(F.sum("count"), F.max("count")).first()
+        assert largest[0] == 8 * n and largest[1] <= simhash.GROUP
+    blocks = [len(simhash.block_sizes(n, 32, 3)) for n in (10**5, 15 * 10**6, 10**8, 10**9)]
+    assert blocks == [4, 4, 5, 6]
 
 
 def test_deduplicate_keeps_one_of_each_group(docs, rows):
