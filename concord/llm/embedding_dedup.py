@@ -1,11 +1,14 @@
 """Near-duplicate embeddings by product quantisation with exact reranking.
 
-Coarse centroids give inverted lists; residuals are coded by subspace.  A
-vector probes each list whose members can be near it: a link is at most the
-link radius long, so its other end is beyond the bisector between a list's
-centroid and the vector's own only if the bisector is within the radius.
-Asymmetric table lookups give distances to the coded members; those within the
-radius plus the member's coding error are reranked by exact cosine.
+Coarse centroids give inverted lists; residuals are coded by subspace.  A link
+is at most the link radius long, and where its ends lie in two lists it crosses
+the bisector between their centroids: the ends' distances from the bisector add
+up to the radius at most, so one of them is at most half of it.  A vector
+therefore probes each list whose bisector is within half the radius, and every
+link is found from one of its ends at least; where only one end finds it, it is
+counted for both.  Asymmetric table lookups give distances to the coded
+members; those within the radius plus the member's coding error are reranked by
+exact cosine.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import connected_components, materialise
+from concord.llm.shared import Scratch, connected_components, discard
 from concord.llm.simhash import spanning
 
-#: The index is fitted on about so many different vectors.
-SAMPLE = 8192
+#: The index is fitted on about so many different vectors for each list, at least and at most so many in all.
+PER_LIST, SAMPLE, MOST_SAMPLE = 8, 8192, 131_072
 #: Members of a list that one task compares, and queries it takes at a time.
 BLOCK, CHUNK = 2048, 256
 
@@ -32,14 +35,23 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         self.width = -(-sample.shape[1] // parts) * parts
         sample = np.pad(sample, ((0, 0), (0, self.width - sample.shape[1])))
-        self.centroids = kmeans(sample, lists, rounds, rng)
+        self.centroids = two_levels(sample, lists, rounds, rng)
         residual = sample - self.centroids[nearest(sample, self.centroids)]
-        squares = (self.centroids**2).sum(1)
-        self.between = np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.centroids @ self.centroids.T, 1e-30))
         step = self.width // parts
         self.books = [kmeans(residual[:, k : k + step], codes, rounds, rng) for k in range(0, self.width, step)]
         self.step = step
 
+    def place(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and which lists have a bisector with it within ``reach``; its own is among them."""
+        square = (x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        home = square.argmin(1)
+        own, at = np.unique(home, return_inverse=True)
+        between = (self.centroids[own] ** 2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * self.centroids[own] @ self.centroids.T
+        between = np.sqrt(np.maximum(between, 1e-30))[at]
+        probes = (square - square[np.arange(len(home)), home][:, None]) <= 2 * between * reach
+        probes[np.arange(len(home)), home] = True
+        return home, probes
+
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the distance between each residual and its decoded form."""
         codes = np.stack([nearest(residual[:, k * self.step : (k + 1) * self.step], b) for k, b in enumerate(self.books)], 1)
@@ -51,9 +63,9 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids**2).sum(1) - 2 * x @ centroids.T).argmin(1)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, centroids: np.ndarray | None = None) -> np.ndarray:
     k = max(1, min(k, len(x)))
-    centroids = x[rng.choice(len(x), k, replace=False)].copy()
+    centroids = x[rng.choice(len(x), k, replace=False)].copy() if centroids is None else centroids[:k].copy()
     for _ in range(rounds):
         own = nearest(x, centroids)
         sums = np.zeros_like(centroids)
@@ -63,8 +75,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centroids
 
 
-def unit(raw: list[bytes]) -> list[np.ndarray]:
-    rows = [np.frombuffer(b, np.float64) for b in raw]
+def two_levels(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Some ``k`` centroids: clusters, split again by their sizes, and settled together once."""
+    first = kmeans(x, math.isqrt(k), rounds, rng)
+    own = nearest(x, first)
+    parts = [x[own == j] for j in range(len(first))]
+    centroids = np.concatenate([kmeans(part, max(1, round(k * len(part) / len(x))), rounds, rng) for part in parts if len(part)])
+    return kmeans(x, len(centroids), 1, rng, centroids)
+
+
+def unit(raw: list[bytes], kind: str) -> list[np.ndarray]:
+    rows = [np.frombuffer(b, kind).astype(np.float64) for b in raw]
     return [r / math.sqrt(r @ r) for r in rows]
 
 
@@ -76,10 +97,10 @@ def matrix(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(r) for r in rows])
 
 
-def _keyed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def _keyed(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            nodes, raws = [], []
+            keys, raws = [], []
             for v in batch.column(1).to_pylist():
                 raw = None
                 if v and None not in v:
@@ -87,13 +108,13 @@ def _keyed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     peak = np.abs(x).max()
                     if np.isfinite(peak) and peak > 0:
                         # far from 1, squares over- or underflow
-                        raw = (x / peak).tobytes() if not 1e-100 < peak < 1e100 else x.tobytes()
+                        raw = (x / peak if not 1e-100 < peak < 1e100 else x).astype(kind).tobytes()
                 raws.append(raw)
-                nodes.append(None if raw is None else xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(raws, pa.binary())], names=["id", "node", "raw"])
+                keys.append(raw and xxhash.xxh3_128_digest(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["id", "key", "raw"])
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    return vectors.select(id_col, vector_col).mapInArrow(run, f"id {kind}, node long, raw binary")
+    ids = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(id_col, vector_col).mapInArrow(run, f"id {ids}, key binary, raw binary")
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,44 +125,55 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     with nothing, and vectors of different lengths do not link.  Equal vectors
     are one node that counts as many rows, so copies are never paired.  A row
     with a null id takes part; it is kept only where no other row of its
-    component has an id.  An empty table gives an empty one.
+    component has an id.  Repeated ids are rows of their own.  Other columns
+    are neither read nor returned; an empty table gives an empty one.
+
+    The index has about twice the square root of the different vectors as
+    lists, fitted on a sample of ``PER_LIST`` vectors a list (``SAMPLE`` to
+    ``MOST_SAMPLE`` in all); beyond that lists grow longer, and are compared by
+    blocks.  Every vector is indexed, and every link is found.
     """
-    keyed = materialise(_keyed(vectors, id_col, vector_col), "vectors")
-    classes = keyed.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.first("raw").alias("raw"))
-    classes = materialise(classes, "classes")
+    scratch = Scratch()
+    kind = "f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
+    keyed = scratch.write(_keyed(vectors, id_col, vector_col, kind), "vectors")
+    classes = keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.first("raw").alias("raw"))
+    # numbered once, as written: each different vector is a node of its own
+    classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     if not n:
         return keyed.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    share = F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < max(1, math.ceil(1_000_003 * min(1.0, SAMPLE / n)))
-    sample = unit([bytes(r["raw"]) for r in classes.where(share).select("raw").collect()] or [bytes(classes.select("raw").first()["raw"])])
+    lists = 2 * math.isqrt(n) + 1
+    wanted = min(MOST_SAMPLE, max(SAMPLE, PER_LIST * lists))
+    share = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < max(1, math.ceil(1_000_003 * min(1.0, wanted / n)))
+    sample = unit([bytes(r["raw"]) for r in classes.where(share).select("raw").collect()] or [bytes(classes.select("raw").first()["raw"])], kind)
     width = max(map(len, sample))
-    index = Quantiser(matrix(sample, width)[0], lists=min(1024, 2 * math.isqrt(n) + 1))
+    index = Quantiser(matrix(sample, width)[0], lists=min(lists, max(1, len(sample) // 2)))
     radius = math.sqrt(2 - 2 * threshold) + 1e-9
-    shipped = vectors.sparkSession.sparkContext.broadcast(index)  # at most 1024 centroids, their distances and 8 code books of 64
+    shipped = vectors.sparkSession.sparkContext.broadcast(index)  # centroids, fewer than half the bounded sample, and 8 code books of 64
 
     def assign(batches):
         own = shipped.value
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
-                x, _ = matrix(unit(part.column("raw").to_pylist()), own.width)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                x, _ = matrix(unit(part.column("raw").to_pylist(), kind), own.width)
                 # what a longer vector has beyond the index's width adds to no distance below
-                square = (x**2).sum(1)[:, None] + (own.centroids**2).sum(1) - 2 * x @ own.centroids.T
-                home = square.argmin(1)
-                probes = (square - square[np.arange(len(home)), home][:, None]) / (2 * own.between[home]) <= radius
-                probes[np.arange(len(home)), home] = True
+                home, probes = own.place(x, radius / 2 + 1e-9)
                 codes, error = own.encode(x - own.centroids[home])
+                bits = np.packbits(probes, axis=1)
+                members = [c.tobytes() for c in codes], [b.tobytes() for b in bits]
                 row, at = np.nonzero(probes)
                 for rows, lists, role in ((np.arange(len(home)), home, 0), (row, at, 1)):
                     take = part.take(pa.array(rows))
+                    empty = pa.nulls(len(rows), pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(lists.astype(np.int32)), pa.array(np.full(len(rows), role, np.int32)), take.column("node"), take.column("m"), take.column("raw"), pa.array([c.tobytes() for c in codes[rows]] if not role else [None] * len(rows), pa.binary()), pa.array(error[rows])],
-                        names=["list", "role", "node", "m", "raw", "codes", "error"],
+                        [pa.array(lists.astype(np.int32)), pa.array(np.full(len(rows), role, np.int32)), take.column("node"), take.column("m"), take.column("raw"), empty if role else pa.array(members[0], pa.binary()), empty if role else pa.array(members[1], pa.binary()), pa.array(error[rows]), pa.array(home[rows].astype(np.int32))],
+                        names=["list", "role", "node", "m", "raw", "codes", "probes", "error", "home"],
                     )
 
-    probed = classes.select("node", "m", "raw").mapInArrow(assign, "list int, role int, node long, m long, raw binary, codes binary, error double")
-    probed = materialise(probed, "probes")
-    # a row for each of at most 1024 lists
+    probed = classes.select("node", "m", "raw").mapInArrow(assign, "list int, role int, node long, m long, raw binary, codes binary, probes binary, error double, home int")
+    probed = scratch.write(probed, "probes")
+    # a row for each list
     sizes = probed.where("role = 0").groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = probed.join(F.broadcast(sizes), "list")
     each = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -152,15 +184,18 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         data = None
 
         def prepare():
-            x, sizes = matrix(unit([r for _, _, r, _, _ in members]), max(len(r) for _, _, r, _, _ in members) // 8)
+            rows = unit([r[2] for r in members], kind)
+            x, sizes = matrix(rows, max(map(len, rows)))
             return {
-                "node": np.array([r[0] for r in members]), "m": np.array([r[1] for r in members]), "x": x, "size": sizes,
-                "codes": np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(len(members), -1).astype(np.int64), "error": np.array([r[4] for r in members]),
+                "node": np.array([r[0] for r in members]), "m": np.array([r[1] for r in members]), "x": x, "size": sizes, "error": np.array([r[5] for r in members]),
+                "codes": np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(len(members), -1).astype(np.int64),
+                "probes": np.frombuffer(b"".join(r[4] for r in members), np.uint8).reshape(len(members), -1),
             }
 
         def answer(queries: list) -> pa.RecordBatch:
-            q = unit([r for _, r in queries])
-            node, short = np.array([k for k, _ in queries]), matrix(q, own.width)[0]
+            q = unit([r[1] for r in queries], kind)
+            node, m, home = (np.array([r[k] for r in queries]) for k in (0, 2, 3))
+            short = matrix(q, own.width)[0]
             residual = short - own.centroids[group[0]]
             near = np.zeros((len(q), len(data["node"])))
             for k, book in enumerate(own.books):
@@ -173,32 +208,35 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
             good = np.zeros(len(a), bool)
             for lo in range(0, len(a), 1 << 16):
                 i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                good[lo : lo + len(i)] = (np.einsum("ij,ij->i", wide[i], other[j]) >= threshold - 1e-12) & (sizes[i] == data["size"][j]) & (node[i] != data["node"][j])
+                good[lo : lo + len(i)] = (np.einsum("ij,ij->i", wide[i], other[j]) >= threshold) & (sizes[i] == data["size"][j]) & (node[i] != data["node"][j])
             a, b = a[good], b[good]
+            # a member that probes the query's list finds the link itself
+            alone = (data["probes"][b, home[a] >> 3] >> (7 - (home[a] & 7)) & 1) == 0
             links = np.bincount(a, weights=data["m"][b], minlength=len(q)).astype(np.int64)
-            asked = np.nonzero(links)[0]
+            back = np.bincount(b[alone], weights=m[a[alone]], minlength=len(data["node"])).astype(np.int64)
+            asked, told = np.nonzero(links)[0], np.nonzero(back)[0]
             n = len(data["node"])
             label = spanning(n + len(q), b, n + a)
             every = np.concatenate([data["node"], node])
             joined = np.nonzero(label != np.arange(len(label)))[0]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([0, 1], [len(asked), len(joined)]).astype(np.int32)), pa.array(np.concatenate([node[asked], every[joined]])), pa.array(np.concatenate([links[asked], every[label[joined]]]))],
+                [pa.array(np.repeat([0, 1], [len(asked) + len(told), len(joined)]).astype(np.int32)), pa.array(np.concatenate([node[asked], data["node"][told], every[joined]])), pa.array(np.concatenate([links[asked], back[told], every[label[joined]]]))],
                 names=["kind", "a", "b"],
             )
 
         waiting: list = []
         for batch in batches:
-            for lists, block, role, node, m, raw, codes, error in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "role", "node", "m", "raw", "codes", "error")), strict=True):
+            for lists, block, role, node, m, raw, codes, probes, error, home in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "role", "node", "m", "raw", "codes", "probes", "error", "home")), strict=True):
                 if (lists, block) != group:
                     if waiting and data:
                         yield answer(waiting)
                     group, members, data, waiting = (lists, block), [], None, []
                 if role == 0:
-                    members.append((node, m, raw, codes, error))
+                    members.append((node, m, raw, codes, probes, error))
                     continue
                 if data is None and members:
                     data = prepare()
-                waiting.append((node, raw))
+                waiting.append((node, raw, m, home))
                 if len(waiting) == CHUNK:
                     if data:
                         yield answer(waiting)
@@ -206,14 +244,16 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         if waiting and data:
             yield answer(waiting)
 
-    found = materialise(placed.mapInArrow(compare, "kind int, a long, b long"), "found")
+    found = scratch.write(placed.mapInArrow(compare, "kind int, a long, b long"), "found")
     labels = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
-    owned = classes.select("node", "m", "low").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    owned = owned.join(links, F.col("node") == F.col("a"), "left").select("node", "low", "component", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    owned = materialise(owned, "owned")
-    lowest = owned.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = owned.join(materialise(lowest, "lowest"), "component").select(F.col("node").alias("own"), "n_links", "component_id")
-    joined = keyed.select("id", "node").join(materialise(named, "named"), F.col("node") == F.col("own"), "left")
+    owned = classes.select("key", "node", "m", "low").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    owned = owned.join(links, F.col("node") == F.col("a"), "left").select(F.col("key").alias("own"), "low", "component", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    owned = scratch.write(owned, "owned")
+    lowest = scratch.write(owned.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    named = scratch.write(owned.join(lowest, "component").select("own", "n_links", "component_id"), "named")
+    scratch.clear(keyed, named)
+    discard(labels)
+    joined = keyed.select("id", "key").join(named, F.col("key") == F.col("own"), "left")
     component = F.when(F.col("own").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
