@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.shared import ascii_lower
+from concord.llm.shared import ascii_lower, free_names
 
 #: What is stripped from both ends of a line's key.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,11 +49,14 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
     twice in one row counts once, and a repeated row counts as a row.  An
     empty key stays.  A null text counts as one empty line and stays null; a
     text that loses all its lines becomes empty.  Rows with null or equal ids
-    are handled each for itself; an empty table gives an empty one.
+    are handled each for itself, and texts of any length whole.  Columns named
+    ``n_lines`` or ``n_dropped`` are replaced, all others keep their names and
+    values; an empty table gives an empty one.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    quoted = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    text = F.coalesce(quoted[0], F.lit(""))
     # rows with equal id and text lose the same positions, so the pair is key enough
-    row = [F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_t")]
+    row = [quoted[1].alias("i"), F.xxhash64(quoted[0]).alias("t")]
     lines = docs.select(*row, _hashes(text).alias("h"))
     # outer generators: before inner ones Spark filters by size, and hashes all lines again for it
     frequent = (
@@ -61,17 +64,17 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_
         .groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         .select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     )
-    placed = lines.select("_i", "_t", F.posexplode_outer("h").alias("p", "h")).where("h is not null")
-    placed = placed.withColumn("s", F.pmod(F.xxhash64("_i", "_t"), F.lit(SALTS)).cast("int"))
-    gone = placed.join(frequent, ["h", "s"]).groupBy("_i", "_t").agg(F.collect_set("p").alias("_gone"))
-    gone = gone.withColumnsRenamed({"_i": "_gi", "_t": "_gt"})
-    joined = docs.withColumn("_th", F.xxhash64(F.col(text_col))).join(gone, F.col(id_col).eqNullSafe(F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left")
+    placed = lines.select("i", "t", F.posexplode_outer("h").alias("p", "h")).where("h is not null")
+    placed = placed.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(SALTS)).cast("int"))
+    gone, of_id, of_text, hashed = free_names(docs, "gone", "gone_id", "gone_text", "hashed")
+    dropped = placed.join(frequent, ["h", "s"]).groupBy(F.col("i").alias(of_id), F.col("t").alias(of_text)).agg(F.collect_set("p").alias(gone))
+    joined = docs.withColumn(hashed, F.xxhash64(quoted[0])).join(dropped, quoted[1].eqNullSafe(F.col(of_id)) & (F.col(hashed) == F.col(of_text)), "left")
     parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), quoted[0]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *(kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in names),
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
