@@ -42,7 +42,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir)).drop("text_hash")
+    return mixing.mix(_documents(spark, sf_dir)).drop("text_hash", "slots")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +105,29 @@ WITH d AS (
   SELECT *, (SELECT level FROM lev WHERE cap / w > level ORDER BY cap / w, k LIMIT 1) AS final FROM lev
 ), t AS (
   SELECT source, source_size, CASE WHEN final IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), final * w) END AS target FROM f
+), b AS (
+  SELECT t.*, CAST(round(target) AS BIGINT) AS goal, greatest(source_size, 1) AS s1,
+    greatest(1, least(4096, (SELECT CAST(sum(source_size) AS BIGINT) >> 18 FROM t))) AS block, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+  FROM t
+), n AS (
+  SELECT *, goal // s1 * ((s1 + block - 1) // block) + (goal % s1 + block - 1) // block AS need FROM b
+), c AS (
+  SELECT k, need, CAST(sum(need + 128) OVER () AS BIGINT) AS slots, max(k) OVER () AS last,
+    CAST(floor(CAST(sum(need + 128) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(need + 128) OVER () AS DOUBLE) * 2147483648) AS BIGINT) AS hi
+  FROM n WHERE need > 0
+), i AS (
+  SELECT k, need, slots, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, CASE WHEN k = last THEN 2147483648 ELSE hi END AS hi FROM c
+), points AS (
+  SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range((SELECT max(slots) FROM c))) AS slot)
+), ranked AS (
+  SELECT k, slot, need, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM points JOIN i ON point >= lo AND point < hi
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+  SELECT d.doc_id, d.size, n.k, n.source_size, n.target, n.goal, n.block, n.need,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(size, goal % source_size - a)) END AS BIGINT) AS taken
-FROM p
+  CAST(CASE WHEN size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(size, goal % source_size - a)) END AS BIGINT) AS taken,
+  CASE WHEN size > 0 THEN slot END AS first_slot
+FROM p LEFT JOIN ranked ON p.k = ranked.k AND p.a // p.block = ranked.rank AND ranked.rank < ranked.need
 """

@@ -201,6 +201,40 @@ def test_mixing_reaches_targets_of_sources_under_a_block(spark, block):
     assert set(target) == set(sizes.values()) and all(abs(taken[n] - target[n]) <= 0.5 for n in target)
 
 
+def test_the_schedule_places_documents(docs, rows):
+    """Slots by the points themselves: what a source's points in order give its blocks."""
+    got = mixing.mix(docs, block=7).collect()
+    for source_size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == source_size and r.slots]
+        assert all(r.slots == sorted(r.slots) and r.first_slot == r.slots[0] and len(r.slots) <= 4 for r in own)
+        assert all((r.taken > 0) <= bool(r.slots) for r in got if r.source_size == source_size)
+    sources = Counter()
+    for r in rows:
+        sources[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    target = {r.source_size: r.target for r in got}
+    order = sorted(sources, key=lambda s: (s is None, s))
+    need = {}
+    for k, s in enumerate(order):
+        goal, size = round(target[sources[s]]), max(1, sources[s])
+        need[k] = goal // size * -(-size // 7) + -(-(goal % size) // 7)
+    shares = {k: n + mixing.SPARE for k, n in need.items() if n}
+    total, upto, edges = sum(shares.values()), 0, []
+    for k, n in shares.items():
+        upto += n
+        edges.append((int(upto / total * mixing.POINTS) if k != max(shares) else mixing.POINTS, k))
+    ranked = defaultdict(list)
+    for slot in range(total):
+        point = slot * mixing.GOLDEN % mixing.POINTS
+        ranked[next(k for hi, k in edges if point < hi)].append(slot)
+    firsts = {(k, slot): rank for k, own in ranked.items() for rank, slot in enumerate(own)}
+    for r in got:
+        if r.slots:
+            k = next(k for k, s in enumerate(order) if sources[s] == r.source_size and (k, r.first_slot) in firsts)
+            blocks = -(-r.source_size // 7)
+            ranks = [firsts[k, slot] for slot in r.slots]
+            assert ranks[0] < blocks and all((rank - ranks[0]) % blocks == 0 for rank in ranks) and ranks[-1] < need[k]
+
+
 def test_mixed_documents_repeat_rows(docs):
     taken = sum(r.taken for r in mixing.mix(docs).collect())
     kept = [r for r in mixing.mixed_documents(docs).collect()]
@@ -208,6 +242,29 @@ def test_mixed_documents_repeat_rows(docs):
     assert abs(words - taken) <= 8000 + 0.05 * taken
 
 
+def test_mixed_documents_stand_in_the_order_of_the_schedule(spark):
+    made = [(k, f"w{k} " * 50, "abc"[k % 3]) for k in range(300)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string")
+    first = {r.doc_id: r.slots for r in mixing.mix(frame).collect()}
+    seen, order = Counter(), []
+    for r in mixing.mixed_documents(frame).collect():
+        order.append(first[r.doc_id][seen[r.doc_id]])
+        seen[r.doc_id] += 1
+    assert order == sorted(order) and len(order) > 250
+
+
+CLASHING = "doc_id long, text string, lang string, source string, gone string, gone_id string, gone_text string, hashed string, h string, n string, i string, c string, t string, slot string, slots string, _h string, w string"
+
+
+def test_columns_with_clashing_names_come_back(spark):
+    made = [(k, f"Shared line\nown line number {k} with some more words to it {k * 7}", "en", f"s{k % 2}", *(f"{c}{k}" for c in CLASHING.replace(" string", "").split(", ")[4:])) for k in range(12)]
+    frame = spark.createDataFrame(made, CLASHING)
+    for got in (line_dedup.drop_repeated_lines(frame).drop("n_lines", "n_dropped"), simhash.deduplicate(frame), mixing.mixed_documents(frame)):
+        assert got.columns == frame.columns
+        rows = {r.doc_id: r for r in got.collect()}
+        assert rows and all(tuple(r)[4:] == made[k][4:] for k, r in rows.items())
+
+
 def test_schedule_is_even(spark):
     plan = spark.createDataFrame([(0, 50.0), (1, 30.0), (2, 0.0), (3, 20.0)], "k int, target double")
     got = [r.k for r in mixing.schedule(plan, 10_000).orderBy("slot").collect()]
