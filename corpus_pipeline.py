@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import language, line_dedup, mixing, packing, simhash
 from concord.llm.queries import vocabulary
-from concord.llm.shared import materialise
+from concord.llm.shared import discard, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter, or null, go."""
+    """Documents in which a language is found; those without a letter, or null, go.
+
+    With nothing to learn from, as in an empty table, all go.
+    """
     model = language.train(docs, vocabulary("piece_bpe_32k.model"))
     return language.identify(docs, model).where("lang_pred <> 'und'").select(*(f"`{c}`" for c in docs.columns))
 
@@ -26,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' target weights takes them."""
+    """Documents as often as the mix to the sources' target weights takes them, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
@@ -48,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's table goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        after = materialise(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = after
     return docs
