@@ -41,6 +41,12 @@ def test_layout(source, text):
         ("<svg><title>t</title><defs><text>d</text></defs><rect/><g><text>one</text><text>two</text></g></svg>", "one two"),
         ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>", "x=2"),
         ("<select><option>a<option selected>b</select>, <select><option>c<option>d</select>", "b, c"),
+        ("<style>.x{display:none}</style><dialog>secret</dialog><dialog open>told</dialog>", "told"),
+        ("<object data=x>fallback</object><video>no</video>", "fallback"),
+        ("<style>div.a.b, ul > li.c, #k .d, [data-x=\"1\"]{display:none} .e:hover{display:none} .f .g>i{display:none}</style><div class='b a'>1</div><div class=a>2</div><ol><li class=c>3</ol><ul><li class=c>4</ul><p id=k><b class=d>5</b></p><p data-x=1>6</p><p class=e>7</p><p class=f><b class=g><i>8</i><u><i>9</i></u></b></p>", "2\n\n1. 3\n\n7\n\n9"),
+        ("<table><tr><td rowspan=2>a<td>bb<td>c<tr><td>d<td>e<tr><td colspan=2>wide<td>f</table>", "a    | bb | c\n     | d  | e\nwide      | f"),
+        ("<table><tr><td colspan=1000>h<tr><td>a<td>b</table>", "h\na | b"),
+        ("<table><thead><tr><td rowspan=9>x<td>y</thead><tbody><tr><td>z</table>", "x | y\nz"),
     ],
 )
 def test_all_that_a_screen_shows(source, text):
@@ -48,28 +54,54 @@ def test_all_that_a_screen_shows(source, text):
 
 
 class Words(HTMLParser):
+    """All text that no tag hides, blocks apart, read by another parser."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip, self.words = 0, []
+        self.skip, self.text = 0, []
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in ("script", "style", "title")
+        self.text.append("" if tag in ("a", "b", "i", "em", "strong", "span") else " ")
 
     def handle_endtag(self, tag):
         self.skip -= tag in ("script", "style", "title")
+        self.text.append("" if tag in ("a", "b", "i", "em", "strong", "span") else " ")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.words += data.split()
+        self.text.append("" if self.skip else data)
 
 
-def test_extract_keeps_all_words(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_extract_keeps_all_words_in_order(spark, sf):
+    """On tables without hidden parts: every word, in its place, and nothing else but marks of the layout."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     for r in pages.collect():
         plain = Words()
         plain.feed(r.html)
-        assert Counter("".join(plain.words)) == Counter(c for c in "".join(got[r.page_id].split())) or Counter(plain.words) - Counter(got[r.page_id].split()) == Counter()
+        words = [w for w in "".join(plain.text).split() if w not in ("|", "---", "-", ">")]
+        left = iter(words)
+        ours = [line.strip().removeprefix("- ").removeprefix("> ") for line in got[r.page_id].split("\n")]
+        mine = [w for line in ours for w in line.split() if w not in ("|", "---", "-", ">")]
+        mine = [w for w in mine if not re.fullmatch(r"\d+\.", w) or w in words]
+        assert [next(left, None) for _ in mine] == mine and next(left, None) is None, r.page_id
+
+
+def test_padding_is_bounded():
+    """One wide cell in a long table, and cells that span it all, give no more than some times the page."""
+    wide = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "w" * 20_000 + "<td>c</table>"
+    spans = "<table><tr>" + "<td rowspan=5000>x" * 2000 + "<tr><td>y" * 2000 + "</table>"
+    for page in (wide, spans):
+        text = html_text.visible_text(page)
+        assert len(text) <= 10 * len(page) + 30_000
+        assert Counter(re.findall("[a-z]", text)) == Counter(re.findall("[a-z]", re.sub("<[^>]*>", "", page)))
+
+
+def test_extract_edge_rows(spark):
+    rows = [(None, "<p>a", "t"), (1, None, "t"), (1, "", "t"), (2, "<p>" + "long words " * 50_000, "t"), (2, "<p>b", "t"), (2, "<p>b", "t")]
+    got = Counter((r.page_id, r.text[:20], r.n_lines) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect())
+    assert got == Counter([(None, "a", 1), (1, "", 0), (1, "", 0), (2, "long words long word", 1), (2, "b", 1), (2, "b", 1)])
 
 
 def brute(rows, threshold):
