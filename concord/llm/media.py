@@ -21,7 +21,9 @@ COMPRESSIONS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 DEFLATE = (8, 32946)
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 317, 322, 323, 324, 325
+PLANES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 284, 317, 322, 323, 324, 325
+#: Bytes of texts or files that a worker holds at a time, beyond the one at hand.
+HELD = 16 << 20
 
 
 def packbits(data: bytes) -> bytes:
@@ -120,6 +122,8 @@ def unlzw(data: bytes, size: int) -> bytes:
         if code == 256:
             table, width, previous = [*(bytes([b]) for b in range(256)), b"", b""], 9, b""
             continue
+        if code > len(table) or (code == len(table) and not previous) or code in (256, 257):
+            raise ValueError(f"LZW code {code} beyond a table of {len(table)}")
         entry = table[code] if code < len(table) else previous + previous[:1]
         out += entry
         if previous:
@@ -214,24 +218,34 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
 
 
 def decode_page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
-    """Samples ``[height, width * samples]`` of one directory."""
+    """Samples ``[height, width * samples]`` of one directory, also where each sample has a plane of its own."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     if any(b != 8 for b in tags.get(BITS, (8,))):
         raise ValueError("only samples of 8 bits are read")
+    planes = samples if one(PLANES, 1) == 2 else 1
     tiled = TILES in tags
     bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(STRIP_ROWS, height), height))
-    across = -(-width // bw)
-    out = np.zeros((-(-height // bh) * bh, across * bw * samples), np.uint8)
-    places = zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)
+    across, down = -(-width // bw), -(-height // bh)
+    out = np.zeros((down * bh, across * bw, samples), np.uint8)
+    places = list(zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+    if len(places) != across * down * planes:
+        raise ValueError(f"{len(places)} blocks for {across * down * planes}")
     for k, (at, size) in enumerate(places):
-        y, x = k // across * bh, k % across * bw * samples
-        rows = bh if tiled else min(bh, height - y)
-        block = np.frombuffer(decode_block(data[at : at + size], one(COMPRESSION, 1), rows * bw * samples), np.uint8).reshape(rows, bw, samples)
+        plane, place = divmod(k, across * down)
+        y, x = place // across * bh, place % across * bw
+        rows, depth = bh if tiled else min(bh, height - y), samples // planes
+        block = np.frombuffer(decode_block(data[at : at + size], one(COMPRESSION, 1), rows * bw * depth), np.uint8).reshape(rows, bw, depth)
         if one(PREDICTOR, 1) == 2:
             block = block.cumsum(1, dtype=np.uint8)
-        out[y : y + rows, x : x + bw * samples] = block.reshape(rows, -1)
-    return out[:height, : width * samples]
+        out[y : y + rows, x : x + bw, plane : plane + depth] = block
+    return out[:height, :width].reshape(height, width * samples)
+
+
+def pages_of(data: bytes) -> Iterator[np.ndarray]:
+    """The pages of a file, in the order of its directories."""
+    for tags in directories(data):
+        yield decode_page(data, tags)
 
 
 def payload_of(text: str | None, unit: int) -> bytes:
@@ -244,16 +258,22 @@ def store_texts(docs: DataFrame, width: int = 576, page_rows: int = 1024, compre
 
     The UTF-8 bytes are filled with 255, which UTF-8 never has, to a positive
     multiple of ``width``.  A null text is stored as an empty one; every row,
-    repeated or not, gives its own file, and equal texts equal files.
+    repeated or not, with a null id or not, gives its own file, and equal texts
+    equal files.  Long texts fill as many pages as they need.  Other columns,
+    whatever their names, are neither read nor returned; an empty table gives
+    an empty one.
     """
 
     def run(batches):
         for batch in batches:
-            media = []
-            for text in batch.column(1):
+            media, first, held = [], 0, 0
+            for k, text in enumerate(batch.column(1), 1):
                 samples = np.frombuffer(payload_of(text.as_py(), width), np.uint8).reshape(-1, width)
                 media.append(write_tiff([samples[y : y + page_rows] for y in range(0, len(samples), page_rows)], compression, predictor, tile))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=[id_col, "media"])
+                held += len(media[-1])
+                if held > HELD or k == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(media)), pa.array(media, pa.binary())], names=[id_col, "media"])
+                    media, first, held = [], k, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
@@ -262,7 +282,9 @@ def store_texts(docs: DataFrame, width: int = 576, page_rows: int = 1024, compre
 def page_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each page: ``(id_col, page, width, height, samples, error)``.
 
-    A null or damaged file gives one row with null samples and the error.
+    A null or damaged file gives one row with null samples and the error.  Rows
+    with null or equal ids are files of their own; an empty table gives an
+    empty one.
     """
 
     def run(batches):
@@ -272,7 +294,7 @@ def page_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 try:
                     if data is None:
                         raise ValueError("no file")
-                    pages = [decode_page(data, tags) for tags in directories(data)]
+                    pages = list(pages_of(data))
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                     error = str(e)
                 n = len(pages) + bool(error)
@@ -297,7 +319,9 @@ def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     """What the stored bytes of each file hold, read back page by page.
 
     Files are walked as in :func:`page_rows`, all pages of one where it lies,
-    so nothing is shuffled.  A damaged file is an error: nothing is lost quietly.
+    so nothing is shuffled.  A null or damaged file is an error: nothing is
+    lost quietly.  Every row, repeated or with a null id, gives its own; an
+    empty table gives an empty one.
     """
 
     def run(batches):
@@ -306,7 +330,7 @@ def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 part = batch.slice(lo, 500)
                 rows = []
                 for data in part.column(1).to_pylist():
-                    pages = [decode_page(data, tags) for tags in directories(data)]
+                    pages = list(pages_of(data))
                     payload = b"".join(p.tobytes() for p in pages)
                     rows.append((len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(np.frombuffer(payload, np.uint8), len(pages)), len(pages)))
                 columns = list(zip(*rows, strict=True)) or [()] * 8

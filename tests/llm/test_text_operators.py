@@ -141,6 +141,31 @@ def test_tiff_pages_round_trip(compression, predictor, tile, order, raw, width):
     assert all((a == b).all() for a, b in zip(pages, back, strict=True))
 
 
+def test_blocks_as_other_writers_make_them():
+    """Examples that the formats' descriptions give, and damage."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert media.unlzw(data, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and media.lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == data
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert media.unpackbits(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    bad = "".join(f"{c:09b}" for c in (256, 7, 400, 257))
+    with pytest.raises(ValueError, match="LZW code 400"):
+        media.unlzw(int(bad.ljust(40, "0"), 2).to_bytes(5, "big"), 9)
+
+
+def test_planes_are_read():
+    """A page of three samples, each in a plane of its own, strip by strip."""
+    page = np.random.default_rng(1).integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    strips = [page[y : y + 2, :, p].tobytes() for p in range(3) for y in (0, 2, 4)]
+    data, offsets = bytearray(8), []
+    for s in strips:
+        offsets.append(len(data))
+        data += s
+    tags = {media.WIDTH: (4,), media.HEIGHT: (5,), media.BITS: (8, 8, 8), media.COMPRESSION: (1,), media.SAMPLES: (3,), media.STRIP_ROWS: (2,), media.PLANES: (2,), media.STRIPS: tuple(offsets), media.STRIP_BYTES: tuple(map(len, strips))}
+    assert (media.decode_page(bytes(data), tags) == page.reshape(5, 12)).all()
+
+
 def test_page_rows_reports_damage(spark):
     good = media.write_tiff([np.zeros((2, 3), np.uint8)] * 2)
     frame = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"junk")), (3, None)], "doc_id long, media binary")
