@@ -84,17 +84,26 @@ def two_levels(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) ->
     return kmeans(x, len(centroids), 1, rng, centroids)
 
 
-def unit(raw: list[bytes], kind: str) -> list[np.ndarray]:
-    rows = [np.frombuffer(b, kind).astype(np.float64) for b in raw]
-    return [r / math.sqrt(r @ r) for r in rows]
-
-
-def matrix(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of any lengths as rows, filled with 0, and their lengths."""
-    out = np.zeros((len(rows), width))
-    for k, r in enumerate(rows):
-        out[k, : min(len(r), width)] = r[:width]
-    return out, np.array([len(r) for r in rows])
+def units(column: pa.Array, kind: str, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a binary column as rows, filled with 0 to the width or the longest, and their lengths."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets) // np.dtype(kind).itemsize
+    width = max(width, int(sizes.max(initial=0)))
+    if len(column) and (sizes == sizes[0]).all():
+        own = np.ascontiguousarray(data).view(kind).reshape(len(column), -1).astype(np.float64)
+        x = np.pad(own, ((0, 0), (0, width - own.shape[1])))
+    else:
+        x = np.zeros((len(column), width))
+        flat, starts = np.ascontiguousarray(data).view(kind), np.cumsum(sizes) - sizes
+        for k, (at, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            x[k, :n] = flat[at : at + n]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], sizes
+
+
+def fitted(x: np.ndarray, width: int) -> np.ndarray:
+    """The rows cut or filled to a width."""
+    return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
 def _keyed(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
@@ -145,9 +154,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     lists = 2 * math.isqrt(n) + 1
     wanted = min(MOST_SAMPLE, max(SAMPLE, PER_LIST * lists))
     share = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < max(1, math.ceil(1_000_003 * min(1.0, wanted / n)))
-    sample = unit([bytes(r["raw"]) for r in classes.where(share).select("raw").collect()] or [bytes(classes.select("raw").first()["raw"])], kind)
-    width = max(map(len, sample))
-    index = Quantiser(matrix(sample, width)[0], lists=min(lists, max(1, len(sample) // 2)))
+    drawn = [bytes(r["raw"]) for r in classes.where(share).select("raw").collect()] or [bytes(classes.select("raw").first()["raw"])]
+    index = Quantiser(units(pa.array(drawn, pa.binary()), kind)[0], lists=min(lists, max(1, len(drawn) // 2)))
     radius = math.sqrt(2 - 2 * threshold) + 1e-9
     shipped = vectors.sparkSession.sparkContext.broadcast(index)  # centroids, fewer than half the bounded sample, and 8 code books of 64
 
@@ -156,7 +164,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                x, _ = matrix(unit(part.column("raw").to_pylist(), kind), own.width)
+                x = fitted(units(part.column("raw"), kind)[0], own.width)
                 # what a longer vector has beyond the index's width adds to no distance below
                 home, probes = own.place(x, radius / 2 + 1e-9)
                 codes, error = own.encode(x - own.centroids[home])
@@ -180,43 +188,37 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     placed = placed.withColumn("block", F.explode(each)).drop("blocks").repartition("list", "block").sortWithinPartitions("list", "block", "role", "node")
 
     def compare(batches):
-        own, group, members = shipped.value, None, []
-        data = None
-
-        def prepare():
-            rows = unit([r[2] for r in members], kind)
-            x, sizes = matrix(rows, max(map(len, rows)))
-            return {
-                "node": np.array([r[0] for r in members]), "m": np.array([r[1] for r in members]), "x": x, "size": sizes, "error": np.array([r[5] for r in members]),
-                "codes": np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(len(members), -1).astype(np.int64),
-                "probes": np.frombuffer(b"".join(r[4] for r in members), np.uint8).reshape(len(members), -1),
-            }
-
-        def answer(queries: list) -> pa.RecordBatch:
-            q = unit([r[1] for r in queries], kind)
-            node, m, home = (np.array([r[k] for r in queries]) for k in (0, 2, 3))
-            short = matrix(q, own.width)[0]
-            residual = short - own.centroids[group[0]]
-            near = np.zeros((len(q), len(data["node"])))
+        own = shipped.value
+
+        def prepare(parts: list) -> dict:
+            node, m, error, sizes, codes, probes = (np.concatenate([p[k] for p in parts]) for k in ("node", "m", "error", "sizes", "codes", "probes"))
+            width = max(p["x"].shape[1] for p in parts)
+            return {"node": node, "m": m, "error": error, "sizes": sizes, "codes": codes, "probes": probes, "x": np.concatenate([fitted(p["x"], width) for p in parts])}
+
+        def answer(data: dict, centroid: np.ndarray, q: dict) -> pa.RecordBatch:
+            x, node, m, home = q["x"], q["node"], q["m"], q["home"]
+            residual = fitted(x, own.width) - centroid
+            near = np.zeros((len(x), len(data["node"])))
             for k, book in enumerate(own.books):
                 part = residual[:, k * own.step : (k + 1) * own.step]
-                table = ((part[:, None] - book) ** 2).sum(2)
-                near += table[:, data["codes"][:, k]]
-            a, b = np.nonzero(np.sqrt(np.maximum(near, 0)) <= radius + data["error"] + 1e-9)
-            wide, sizes = matrix(q, max(data["x"].shape[1], max(map(len, q))))
-            other = np.pad(data["x"], ((0, 0), (0, wide.shape[1] - data["x"].shape[1])))
+                table = (part**2).sum(1)[:, None] + (book**2).sum(1) - 2 * part @ book.T
+                near += np.take(table, data["codes"][:, k], axis=1)
+            reach = (radius + data["error"] + 1e-6) ** 2
+            a, b = np.nonzero(near <= reach)
+            width = max(data["x"].shape[1], x.shape[1])
+            wide, other = fitted(x, width), fitted(data["x"], width)
             good = np.zeros(len(a), bool)
             for lo in range(0, len(a), 1 << 16):
                 i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                good[lo : lo + len(i)] = (np.einsum("ij,ij->i", wide[i], other[j]) >= threshold) & (sizes[i] == data["size"][j]) & (node[i] != data["node"][j])
+                good[lo : lo + len(i)] = (np.einsum("ij,ij->i", wide[i], other[j]) >= threshold) & (q["sizes"][i] == data["sizes"][j]) & (node[i] != data["node"][j])
             a, b = a[good], b[good]
             # a member that probes the query's list finds the link itself
             alone = (data["probes"][b, home[a] >> 3] >> (7 - (home[a] & 7)) & 1) == 0
-            links = np.bincount(a, weights=data["m"][b], minlength=len(q)).astype(np.int64)
+            links = np.bincount(a, weights=data["m"][b], minlength=len(x)).astype(np.int64)
             back = np.bincount(b[alone], weights=m[a[alone]], minlength=len(data["node"])).astype(np.int64)
             asked, told = np.nonzero(links)[0], np.nonzero(back)[0]
             n = len(data["node"])
-            label = spanning(n + len(q), b, n + a)
+            label = spanning(n + len(x), b, n + a)
             every = np.concatenate([data["node"], node])
             joined = np.nonzero(label != np.arange(len(label)))[0]
             return pa.RecordBatch.from_arrays(
@@ -224,25 +226,25 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 names=["kind", "a", "b"],
             )
 
-        waiting: list = []
+        group, parts, data = None, [], None
         for batch in batches:
-            for lists, block, role, node, m, raw, codes, probes, error, home in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "role", "node", "m", "raw", "codes", "probes", "error", "home")), strict=True):
-                if (lists, block) != group:
-                    if waiting and data:
-                        yield answer(waiting)
-                    group, members, data, waiting = (lists, block), [], None, []
-                if role == 0:
-                    members.append((node, m, raw, codes, probes, error))
+            lists, block, role, node, m, error, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "block", "role", "node", "m", "error", "home"))
+            cuts = np.nonzero((lists[1:] != lists[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1]))[0] + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if lo == hi:
                     continue
-                if data is None and members:
-                    data = prepare()
-                waiting.append((node, raw, m, home))
-                if len(waiting) == CHUNK:
-                    if data:
-                        yield answer(waiting)
-                    waiting = []
-        if waiting and data:
-            yield answer(waiting)
+                if (lists[lo], block[lo]) != group:
+                    group, parts, data = (lists[lo], block[lo]), [], None
+                if role[lo] == 0:
+                    x, sizes = units(batch.column("raw").slice(lo, hi - lo), kind)
+                    codes, probes = (np.frombuffer(b"".join(batch.column(c).slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1) for c in ("codes", "probes"))
+                    parts.append({"node": node[lo:hi], "m": m[lo:hi], "error": error[lo:hi], "x": x, "sizes": sizes, "codes": codes, "probes": probes})
+                elif parts:
+                    data = data or prepare(parts)
+                    for at in range(lo, hi, CHUNK):
+                        to = min(at + CHUNK, hi)
+                        x, sizes = units(batch.column("raw").slice(at, to - at), kind)
+                        yield answer(data, own.centroids[group[0]], {"x": x, "sizes": sizes, "node": node[at:to], "m": m[at:to], "home": home[at:to]})
 
     found = scratch.write(placed.mapInArrow(compare, "kind int, a long, b long"), "found")
     labels = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
