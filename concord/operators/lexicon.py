@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import similarity
 from concord.functions import text as T
+from concord.operators.graph import connected_components
 
 #: Link types whose rows name no reading of their form.
 NO_CANDIDATE = ("derived", "contracts")
@@ -77,23 +78,16 @@ def scan_lemma(posted: DataFrame, ids: DataFrame) -> DataFrame:
     return posted.join(ids.select("lemma_id").distinct(), "lemma_id", "left_semi").groupBy("ident").agg(F.count_distinct("line_no", "pos").alias("uses"))
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(node, root)``: the smallest node connected by ``(a, b)`` pairs.
+def holding(candidates: DataFrame, ids: list[str]) -> DataFrame:
+    """The forms that have any of the ids among their candidates; what layers leave of them later is a part of these."""
+    return candidates.where(F.arrays_overlap("ids", F.array(*map(F.lit, ids))))
 
-    Every node takes the least label of its neighbours until none changes; a
-    round is an aggregate and a join.  Equivalence tables have some thousand
-    pairs, and chains in them are short.
-    """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b").distinct()
-    labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root"))
-    for _ in range(rounds):
-        lowest = both.join(labels.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        after = labels.join(lowest, "a").select("a", F.least("root", "r").alias("root")).cache()
-        changed = after.join(labels.withColumnRenamed("root", "was"), "a").where("root <> was").limit(1).count()
-        labels = after
-        if not changed:
-            break
-    return labels.select(F.col("a").alias("node"), "root")
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``(node, root)``: the smallest node connected by ``(a, b)`` pairs, whatever the length of chains."""
+    labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    nodes = pairs.select("a").union(pairs.select("b")).toDF("own").where("own is not null").distinct()
+    return nodes.join(labels, F.col("own") == F.col("node"), "left").select(F.col("own").alias("node"), F.coalesce("component", "own").alias("root"))
 
 
 def context_resolution(tokens: DataFrame, overrides: DataFrame, sidecar: DataFrame) -> DataFrame:
@@ -120,21 +114,29 @@ def lookup(selections: DataFrame, entries: DataFrame, candidates: DataFrame, dis
 def near_matches(probes: DataFrame, words: DataFrame, most: int = 4) -> DataFrame:
     """Words within one edit (two from six letters on), swaps counting one; the best ``most`` of each probe.
 
-    Words within two edits of each other share a form with at most two letters
-    left out, so that an equi-join makes the pairs.
+    Candidates come by an equi-join.  Words of at most ``SPELLED`` letters two
+    edits apart share a form with at most two letters left out; longer words
+    share one of five parts, two letters shifted at most, as two edits or swaps
+    touch four.  So a word gives some hundred rows, however long it is.
     """
     own = probes.where((F.length("probe") >= 4) & ~F.col("probe").contains(" ")).withColumn("most", similarity.allowed(F.col("probe")))
     pool = words.where((F.length("word") >= 3) & ~F.col("word").contains(" ")).select("word").distinct()
-    held = pool.select("word", F.explode(_deletions(F.col("word"))).alias("piece"))
-    asked = own.select("probe", "most", F.explode(_deletions(F.col("probe"))).alias("piece"))
+    near = own.select(F.explode(F.sequence(F.length("probe") - 2, F.length("probe") + 2)).alias("n")).distinct()
+    pool = pool.join(near, F.length("word") == F.col("n"), "left_semi")
+    held = pool.select("word", F.explode(_held(F.col("word"))).alias("piece"))
+    asked = own.select("probe", "most", F.explode(_asked(F.col("probe"))).alias("piece")).distinct()
     pairs = asked.join(held, "piece").where("word <> probe").select("probe", "word", "most").distinct()
     scored = pairs.withColumn("distance", similarity.osa_distance(F.col("probe"), F.col("word"), F.col("most"))).where("distance <= most")
     order = Window.partitionBy("probe").orderBy("distance", F.left("word", F.lit(1)) != F.left("probe", F.lit(1)), F.lower("word"), "word")
     return scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("probe", "word", "distance", "k")
 
 
+#: Words up to this length meet by forms with letters left out, longer ones by one of so many parts.
+SPELLED, PARTS = 12, 5
+
+
 def _deletions(word: Column) -> Column:
-    """The word with up to two letters left out: words two edits apart share one of these."""
+    """The word with up to two letters left out."""
 
     def less(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.left(w, i - 1), F.substring(w, i + 1, F.length(w))))
@@ -143,6 +145,28 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, less))))
 
 
+def _part(word: Column, size: Column, k: Column, shift: Column | int = 0) -> Column:
+    """The letters that part ``k`` of a word of ``size`` letters has, ``shift`` letters on."""
+    at = F.floor(size * k / PARTS).cast("int")
+    start = at + 1 + shift
+    return F.when(start >= 1, F.concat_ws("#", size, k, F.substr(word, start, F.floor(size * (k + 1) / PARTS).cast("int") - at)))
+
+
+def _held(word: Column) -> Column:
+    every = F.array(*map(F.lit, range(PARTS)))
+    return F.when(F.length(word) <= SPELLED, _deletions(word)).otherwise(F.transform(every, lambda k: _part(word, F.length(word), k)))
+
+
+def _asked(word: Column) -> Column:
+    """Pieces that words of any length within two of the probe's can share with it."""
+    n, every = F.length(word), F.array(*map(F.lit, range(PARTS)))
+    sizes = F.filter(F.sequence(n - 2, n + 2), lambda x: x > SPELLED)
+    shifts = F.array(*map(F.lit, range(-2, 3)))
+    parts = F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(every, lambda k: F.transform(shifts, lambda x: _part(word, size, k, x))))))
+    spelled = F.when(n <= SPELLED + 2, _deletions(word)).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.concat(spelled, parts))
+
+
 def suggest(words: DataFrame, prefix: str, most: int = 10) -> DataFrame:
     """Headwords that begin so: the exact one first, then by use."""
     key = T.form_key(F.col("word"))
@@ -168,16 +192,64 @@ def browse(words: DataFrame) -> DataFrame:
     return keyed.withColumn("chapter", F.sum("new").over(running)).where(~F.col("twin")).select("letter", "chapter", "head", "word")
 
 
+def ranked(words: DataFrame) -> DataFrame:
+    """``(word, attested, sort, letter, rank)``: different headwords numbered from 1 in collation order.
+
+    Ranks are counted within a letter; the letters before come as sums, a row
+    for each letter, so no task orders all words.
+    """
+    own = words.select("word", "attested", T.collation_key(F.col("word")).alias("sort")).groupBy("word", "sort").agg(F.max("attested").alias("attested")).withColumn("letter", F.left("sort", F.lit(1)))
+    counts = own.groupBy("letter").agg(F.count("*").alias("n"))
+    before = Window.orderBy("letter").rowsBetween(Window.unboundedPreceding, -1)  # a row for each letter
+    bases = counts.select(F.col("letter").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = own.withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy("sort", "word")))
+    return numbered.join(bases, F.col("letter") == F.col("of")).select("word", "attested", "sort", "letter", (F.col("base") + F.col("k")).alias("rank"))
+
+
 def neighbours(words: DataFrame) -> DataFrame:
-    """Each headword's neighbours within its letter, and its nearest attested ones."""
+    """Each headword's neighbours in collation order, and its nearest attested ones, across letters too."""
     order = Window.partitionBy("letter").orderBy("sort", "word")
     own = words.select("word", "attested", T.collation_key(F.col("word")).alias("sort")).distinct().withColumn("letter", F.left("sort", F.lit(1)))
-    seen = F.when(F.col("attested"), F.col("word"))
-    return own.select(
-        "word", F.lag("word").over(order).alias("before"), F.lead("word").over(order).alias("after"),
-        F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("attested_before"),
-        F.first(seen, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("attested_after"),
+    entry, seen = F.struct("sort", "word"), F.when(F.col("attested"), F.struct("sort", "word"))
+    # the first and the last word of each letter, and what lies beyond it
+    edges = own.groupBy("letter").agg(F.min(entry).alias("first"), F.max(entry).alias("last"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
+    letters = Window.orderBy("letter")
+    beyond = edges.select(
+        F.col("letter").alias("of"), F.lag("last").over(letters)["word"].alias("edge_before"), F.lead("first").over(letters)["word"].alias("edge_after"),
+        F.last("last_seen", ignorenulls=True).over(letters.rowsBetween(Window.unboundedPreceding, -1))["word"].alias("seen_before"),
+        F.first("first_seen", ignorenulls=True).over(letters.rowsBetween(1, Window.unboundedFollowing))["word"].alias("seen_after"),
+    )
+    word = F.when(F.col("attested"), F.col("word"))
+    within = own.select(
+        "letter", "word", F.lag("word").over(order).alias("before"), F.lead("word").over(order).alias("after"),
+        F.last(word, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("attested_before"),
+        F.first(word, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("attested_after"),
     )
+    joined = within.join(beyond, F.col("letter") == F.col("of"))
+    return joined.select("word", *(F.coalesce(a, b).alias(a) for a, b in (("before", "edge_before"), ("after", "edge_after"), ("attested_before", "seen_before"), ("attested_after", "seen_after"))))
+
+
+def around(words: DataFrame, probes: DataFrame, span: int = 5) -> DataFrame:
+    """``(probe, offset, word)``: the headwords up to ``span`` places (at most 25) on either side of each probe.
+
+    A probe that is no headword stands where it would be filed: offset -1 is
+    the word before that place, 1 the word after, and 0 does not occur.
+    """
+    span = min(max(span, 1), 25)
+    order = ranked(words)
+    asked = probes.select("probe", T.collation_key(F.col("probe")).alias("key")).distinct().withColumn("initial", F.left("key", F.lit(1)))
+    # where each probe lies: after the words of earlier letters and those of its own letter that sort before it
+    same = asked.join(order, F.col("initial") == F.col("letter"), "left")
+    before = F.struct("sort", "word") < F.struct(F.col("key").alias("sort"), F.col("probe").alias("word"))
+    placed = same.groupBy("probe", "key", "initial").agg(F.max(F.when(before, F.col("rank"))).alias("under"), F.min(F.when(F.col("word") == F.col("probe"), F.col("rank"))).alias("at"), F.min("rank").alias("low"))
+    # of letters that begin no word, the last rank before them: a row for each letter, so one small window
+    ends = order.groupBy("letter").agg(F.max("rank").alias("end")).unionByName(asked.select(F.col("initial").alias("letter"), F.lit(None).cast("long").alias("end")).distinct())
+    upto = F.last("end", ignorenulls=True).over(Window.orderBy("letter", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    earlier = ends.select("letter", "end", F.coalesce(upto, F.lit(0)).alias("earlier")).where("end is null").select(F.col("letter").alias("initial"), "earlier")
+    placed = placed.join(earlier, "initial", "left").select("probe", "at", F.coalesce("under", F.col("low") - 1, "earlier").alias("under"))
+    wanted = F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset")
+    place = F.when(F.col("at").isNotNull(), F.col("at") + F.col("offset")).when(F.col("offset") < 0, F.col("under") + 1 + F.col("offset")).when(F.col("offset") > 0, F.col("under") + F.col("offset"))
+    return placed.select("probe", "at", "under", wanted).withColumn("rank", place).join(order.select("rank", "word"), "rank").select("probe", "offset", "word")
 
 
 def homographs(displays: DataFrame) -> DataFrame:
@@ -187,10 +259,10 @@ def homographs(displays: DataFrame) -> DataFrame:
 
 
 def banded_sample(words: DataFrame, quota: int = 3, seed: int = 7) -> DataFrame:
-    """Random headwords of each band of use: none, under 10, under 100, more."""
+    """Headwords of each band of use (none, under 10, under 100, more) by a hash: the same for a seed however the table is dealt."""
     band = F.when(F.col("uses") == 0, 0).when(F.col("uses") < 10, 1).when(F.col("uses") < 100, 2).otherwise(3)
-    own = words.withColumn("band", band).withColumn("r", F.rand(seed))
-    return own.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("r"))).where(F.col("k") <= quota).select("band", "word", "uses")
+    own = words.withColumn("band", band).withColumn("r", F.md5(F.concat("word", F.lit(f"|{seed}"))))
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("r", "word"))).where(F.col("k") <= quota).select("band", "word", "uses")
 
 
 def tree(links: DataFrame, displays: DataFrame, most: int = 6) -> DataFrame:

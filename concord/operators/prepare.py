@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import dates, references
+from concord.operators.search import once
 
 #: Names of the inline reference formats, and the words of headings.
 FORMATS = ["bracketed-citation", "bracketed-number", "leading-number", "incipit-psalm-heading", "colon-verse", "heading-line"]
@@ -197,7 +198,7 @@ def resolve_references(lines: DataFrame, seed_book: Column | None = None) -> Dat
         F.when(is_colon, "colon").when(short(ref), "bare").when(is_heading & first.isin(*CHAPTER_WORDS), "chapter")
         .when(is_heading & first.isin(*PSALM_WORDS), "psalm").when(started != "", "incipit").when(ref != "", "free")
     )
-    own = lines.withColumn("kind", kind)
+    own = once(lines, "kind", kind)
     own = own.withColumn("heading", F.when(F.col("kind").isin("chapter", "psalm"), number(named)).when(F.col("kind") == "incipit", number(started)))
     walk = Window.partitionBy("ident").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     # a chapter heading that is no number clears the chapter, a psalm heading that is none changes nothing
@@ -212,7 +213,7 @@ def resolve_references(lines: DataFrame, seed_book: Column | None = None) -> Dat
         .when(F.col("kind") == "bare", key(F.col("book"), F.col("context").cast("string"), ref.try_cast("int").cast("string")))
         .when(F.col("kind") == "chapter", key(F.col("book"), F.col("context").cast("string")))
         .when(F.col("kind").isin("psalm", "incipit"), key(F.lit("psalms"), F.col("heading").cast("string")))
-        .when(F.col("kind") == "free", references.citation_key(ref))
+        .when(F.col("kind") == "free", references.citation_key(F.when(F.col("kind") == "free", ref)))
     )
     return own.withColumn("canonical_reference", resolved).drop("kind", "heading", "context", "book")
 

@@ -156,19 +156,27 @@ def window_lines(lines: DataFrame, start: int, end: int, limit: int, from_end: b
     return own.withColumn("k", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("ident"))).where(F.col("k") <= limit).drop("k")
 
 
-def reveal(shown: DataFrame, hidden: DataFrame, lines: DataFrame, chunk: int = 5, whole: int = 10) -> DataFrame:
-    """Open each gap from its lower edge by a chunk, small gaps at once, and mark what stays hidden."""
+def reveal(shown: DataFrame, hidden: DataFrame, lines: DataFrame, chunk: int = 5, whole: int = 10, way: str = "down") -> DataFrame:
+    """Open each gap by a chunk, small gaps at once, and mark what stays hidden.
+
+    ``down`` opens a gap at its first lines, ``up`` at its last ones, ``all``
+    opens it whole.  The mark of a gap stands on the first line that is still
+    hidden, with ``gap`` 1 and no text; lines shown already are not doubled.
+    """
     size = F.col("end") - F.col("start") + 1
-    upto = F.when(size <= whole, F.col("end")).otherwise(F.col("start") + chunk - 1)
-    opened = hidden.select("ident", "start", upto.alias("upto"), F.col("end"))
-    new = lines.join(opened, "ident").where(F.col("line_no").between(F.col("start"), F.col("upto"))).select("ident", "line_no", "text")
-    rest = opened.where("upto < end").select("ident", (F.col("upto") + 1).alias("line_no"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("gap"))
+    at_once = F.lit(True) if way == "all" else size <= whole
+    low = F.when(at_once, F.col("start")).otherwise(F.col("start") if way != "up" else F.col("end") - chunk + 1)
+    high = F.when(at_once, F.col("end")).otherwise(F.col("start") + chunk - 1 if way != "up" else F.col("end"))
+    opened = hidden.select("ident", "start", "end", low.alias("low"), high.alias("high"))
+    new = lines.join(opened, "ident").where(F.col("line_no").between(F.col("low"), F.col("high"))).select("ident", "line_no", "text")
+    left = F.when(F.col("low") > F.col("start"), F.col("start")).when(F.col("high") < F.col("end"), F.col("high") + 1)
+    rest = opened.select("ident", left.alias("line_no"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("gap")).where("line_no is not null")
     kept = shown.select("ident", "line_no", "text").unionByName(new).dropDuplicates(["ident", "line_no"]).withColumn("gap", F.lit(0))
     return kept.unionByName(rest)
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
-    return lines.select(F.explode(T.tokens(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    return lines.select(F.explode_outer(T.tokens(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def did_you_mean(lines: DataFrame, word: str, limit: int = 5) -> DataFrame:

@@ -10,8 +10,13 @@ from concord.operators.search import once
 
 
 def words(lines: DataFrame, *keep: str) -> DataFrame:
-    """A row for each running word."""
-    return lines.select(*keep, F.explode(T.stats_tokens(F.col("text"))).alias("term"))
+    """A row for each running word.
+
+    An outer generator: before an inner one Spark filters lines by the number
+    of their words, and cuts each line a second time for it.
+    """
+    own = lines.select(*keep, F.explode_outer(T.tokens(F.col("text"))).alias("term"))
+    return own.where(F.col("term").isNotNull() & T.is_word(F.col("term")))
 
 
 def term_frequency(lines: DataFrame) -> DataFrame:

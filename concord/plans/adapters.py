@@ -13,15 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by the keys where its files give fewer partitions than there are cores.
+
+    A table of one row group would otherwise be cut into words by one task.
+    Tables of many files, as on a cluster, are read where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = F.when(F.col("doc_id") % 11 != 0, 1600 + F.col("doc_id") * 37 % 420).cast("int")
-    date = F.make_date(year, F.lit(1), F.lit(1))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ident"), F.col("source").alias("name"), "lang", "text", year.alias("year"), date.alias("date_start"), date.alias("date_end"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ident"), F.col("source").alias("name"), "lang", "text")
+    return own.select("*", F.expr("CASE WHEN ident % 11 <> 0 THEN CAST(1600 + ident * 37 % 420 AS INT) END").alias("year")).select("*", *(F.make_date("year", F.lit(1), F.lit(1)).alias(c) for c in ("date_start", "date_end")))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line, numbered from 1."""
-    own = documents(spark, sf_dir)
+    own = spread(documents(spark, sf_dir), "ident")
     return own.select("ident", "name", "lang", "year", "date_start", "date_end", F.posexplode(F.split("text", "\n")).alias("at", "text")).withColumn("line_no", F.col("at") + 1).drop("at")
 
 
@@ -43,7 +52,7 @@ def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = once(lines(spark, sf_dir), "w", T.tokens(F.col("text")))
-    return own.select("ident", "line_no", "year", T.line_key(F.col("w")).alias("line_key"), F.posexplode("w").alias("pos", "term"))
+    return own.select("ident", "line_no", "year", T.line_key(F.col("w")).alias("line_key"), F.posexplode_outer("w").alias("pos", "term")).where("pos is not null")
 
 
 def lemma_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +65,7 @@ def lemma_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nouns.union(verbs).select("form", "lemma_id", "lemma", "link_type", "pos", none.alias("via"), none.alias("note"), "source_order", F.lit(0).alias("row_order"))
 
 
-def headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First two and first three words of each benchmark text."""
-    toks = T.tokens(F.col("text"))
-    own = table(spark, sf_dir, "benchmark").select(toks.alias("w"))
-    return own.select(F.explode(F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 1, 3), " "))).alias("phrase")).distinct()
+def headwords(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (2, 3, 4, 5, 8, 12, 16)) -> DataFrame:
+    """The first words of each benchmark text, as many as each size."""
+    own = once(table(spark, sf_dir, "benchmark"), "w", T.tokens(F.col("text"))).where(F.size("w") >= 2)
+    return own.select(F.explode(F.array(*(F.array_join(F.slice("w", 1, n), " ") for n in sizes))).alias("phrase")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from concord.functions import dates, references, similarity
 from concord.functions import text as T
 from concord.operators import harness, history, lexicon, prepare, query, search, statistics
+from concord.operators.tables import small
 from concord.plans import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,11 +161,33 @@ def context_gaps(spark, d):
     return search.gaps(search.matched(own, "with", EXACT).select("ident", "line_no"), search.bounds(own))
 
 
-@register("context_reveal")
-def context_reveal(spark, d):
+HITS = f"""WITH {TOKENS}, h AS (SELECT ident, line_no, any_value(text) AS text FROM toks WHERE term = 'with' GROUP BY 1, 2), b AS (SELECT ident, min(line_no) AS lo, max(line_no) AS hi FROM lines GROUP BY ident),
+g AS (SELECT h.ident, line_no, lead(line_no) OVER (PARTITION BY h.ident ORDER BY line_no) AS nx, row_number() OVER (PARTITION BY h.ident ORDER BY line_no) AS k, lo, hi FROM h JOIN b USING (ident)),
+gaps AS (SELECT ident, lo AS a, line_no - 1 AS z FROM g WHERE k = 1 AND line_no > lo UNION ALL SELECT ident, line_no + 1, nx - 1 FROM g WHERE nx > line_no + 1 UNION ALL SELECT ident, line_no + 1, hi FROM g WHERE nx IS NULL AND line_no < hi)"""
+REVEAL = """, o AS (SELECT ident, a, z, LOW AS low, HIGH AS high FROM gaps)
+SELECT ident, line_no, text, 0 AS gap FROM h UNION ALL SELECT l.ident, l.line_no, l.text, 0 FROM lines l JOIN o ON o.ident = l.ident AND l.line_no BETWEEN low AND high
+UNION ALL SELECT ident, CASE WHEN low > a THEN a ELSE high + 1 END, NULL, 1 FROM o WHERE low > a OR high < z"""
+
+
+def revealed(spark, d, way: str):
     own = A.lines(spark, d)
     hits = search.matched(own, "with", EXACT)
-    return search.reveal(hits, search.gaps(hits.select("ident", "line_no"), search.bounds(own)), own)
+    return search.reveal(hits, search.gaps(hits.select("ident", "line_no"), search.bounds(own)), own, way=way)
+
+
+@register("context_reveal", HITS + REVEAL.replace("LOW", "a").replace("HIGH", "CASE WHEN z - a + 1 <= 10 THEN z ELSE a + 4 END"))
+def context_reveal(spark, d):
+    return revealed(spark, d, "down")
+
+
+@register("context_reveal_up", HITS + REVEAL.replace("LOW", "CASE WHEN z - a + 1 <= 10 THEN a ELSE z - 4 END").replace("HIGH", "z"))
+def context_reveal_up(spark, d):
+    return revealed(spark, d, "up")
+
+
+@register("context_reveal_all", HITS + REVEAL.replace("LOW", "a").replace("HIGH", "z"))
+def context_reveal_all(spark, d):
+    return revealed(spark, d, "all")
 
 
 @register("highlight_ranges")
@@ -193,14 +216,16 @@ def vocabulary_fold(spark, d):
     return statistics.vocabulary_fold(statistics.term_frequency(A.lines(spark, d)))
 
 
-PHRASES = r"""heads AS (SELECT DISTINCT unnest([array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' ')]) AS phrase FROM (SELECT list_transform_w AS w FROM (
-  SELECT item_id, list(term ORDER BY pos) AS list_transform_w FROM (SELECT item_id, pos, CASE WHEN t LIKE '%?' AND t NOT LIKE '%??' AND NOT regexp_full_match(t, '\?+') THEN left(t, length(t) - 1) ELSE t END AS term FROM (
-    SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(NORMAL, '[\p{L}\p{Nd}\p{Mn}''?-]+') AS w FROM benchmark))) GROUP BY item_id)))""".replace("NORMAL", NORMAL)
-GRAMS = """grams AS (SELECT a.ident, a.line_no, a.pos, a.term || ' ' || b.term AS phrase FROM toks a JOIN toks b ON a.ident = b.ident AND a.line_no = b.line_no AND b.pos = a.pos + 1
-  UNION ALL SELECT a.ident, a.line_no, a.pos, a.term || ' ' || b.term || ' ' || c.term FROM toks a JOIN toks b ON a.ident = b.ident AND a.line_no = b.line_no AND b.pos = a.pos + 1 JOIN toks c ON a.ident = c.ident AND a.line_no = c.line_no AND c.pos = a.pos + 2)"""
+PHRASES = r"""parsed AS (
+  SELECT item_id, pos, CASE WHEN t LIKE '%?' AND t NOT LIKE '%??' AND NOT regexp_full_match(t, '\?+') THEN left(t, length(t) - 1) ELSE t END AS term
+  FROM (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM (SELECT item_id, regexp_extract_all(NORMAL, '[\p{L}\p{Nd}\p{Mn}''?-]+') AS w FROM benchmark))
+), heads AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS phrase FROM (SELECT list(term ORDER BY pos) AS w FROM parsed GROUP BY item_id), (SELECT unnest(SIZES) AS n) WHERE len(w) >= 2)""".replace("NORMAL", NORMAL)
+#: All runs of as many words as some headword has.
+GRAMS = """bags AS (SELECT ident, line_no, list(term ORDER BY pos) AS w FROM toks GROUP BY ident, line_no), lengths AS (SELECT DISTINCT len(string_split(phrase, ' ')) AS n FROM heads),
+grams AS (SELECT ident, line_no, p - 1 AS pos, n, array_to_string(w[p:p + n - 1], ' ') AS phrase FROM (SELECT ident, line_no, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM bags, lengths WHERE len(w) >= n))"""
 
 
-@register("phrase_attestation", f"WITH {TOKENS}, {PHRASES}, {GRAMS}, n AS (SELECT phrase, count(*) AS n FROM grams GROUP BY phrase) SELECT phrase, coalesce(n.n, 0) AS n FROM heads LEFT JOIN n USING (phrase)")
+@register("phrase_attestation", f"WITH {TOKENS}, {PHRASES}, {GRAMS}, n AS (SELECT phrase, count(*) AS n FROM grams GROUP BY phrase) SELECT phrase, coalesce(n.n, 0) AS n FROM heads LEFT JOIN n USING (phrase)".replace("SIZES", "[2, 3, 4, 5, 8, 12, 16]"))
 def phrase_attestation(spark, d):
     return statistics.phrase_attestation(A.lines(spark, d), A.headwords(spark, d))
 
@@ -216,11 +241,11 @@ def coverage_stats(spark, d):
     return statistics.coverage(frequency, frequency.where(F.length("term") > 3))
 
 
-@register("token_coverage", f"""WITH {TOKENS}, {PHRASES}, {GRAMS}, hits AS (SELECT ident, line_no, pos, phrase, len(string_split(phrase, ' ')) AS n FROM grams JOIN heads USING (phrase)),
+@register("token_coverage", f"""WITH {TOKENS}, {PHRASES}, {GRAMS}, hits AS (SELECT ident, line_no, pos, n FROM grams JOIN heads USING (phrase)),
 c AS (SELECT ident, line_no, unnest(range(CAST(pos AS BIGINT), CAST(pos + n AS BIGINT))) AS pos, n FROM hits), b AS (SELECT ident, line_no, pos, max(n) AS tier FROM c GROUP BY 1, 2, 3)
-SELECT coalesce(tier, 0) AS tier, count(*) AS tokens FROM toks LEFT JOIN b USING (ident, line_no, pos) GROUP BY 1""")
+SELECT coalesce(tier, 0) AS tier, count(*) AS tokens FROM toks LEFT JOIN b USING (ident, line_no, pos) GROUP BY 1""".replace("SIZES", "[2, 3, 4]"))
 def token_coverage(spark, d):
-    return statistics.token_coverage(A.lines(spark, d), A.headwords(spark, d), most=3).groupBy("tier").agg(F.count("*").alias("tokens"))
+    return statistics.token_coverage(A.lines(spark, d), A.headwords(spark, d, (2, 3, 4)), most=4).groupBy("tier").agg(F.count("*").alias("tokens"))
 
 
 @register("line_key_hash", f"WITH {TOKENS} SELECT ident, line_no, left(sha256(string_agg(term, ' ' ORDER BY pos)), 16) AS line_key FROM toks GROUP BY ident, line_no")
@@ -329,9 +354,10 @@ def lemma_candidates(spark, d):
 
 @register("lemma_scan_distinct_positions", f"WITH {LEMMAS} SELECT ident, count(DISTINCT (line_no, pos)) AS uses FROM tk JOIN (SELECT DISTINCT key FROM folded WHERE lemma_id IN ('the.n', 'ha.v', 'ha.n')) USING (key) GROUP BY ident")
 def lemma_scan_distinct_positions(spark, d):
-    own = tagged(spark, d)[0]
-    ids = spark.createDataFrame([("the.n",), ("ha.v",), ("ha.n",)], "lemma_id string")
-    return lexicon.scan_lemma(lexicon.postings(own), ids)
+    wanted = ["the.n", "ha.v", "ha.n"]
+    forms = small(lexicon.holding(lexicon.load(A.lemma_rows(spark, d))[0], wanted))
+    own = lexicon.tagged(A.tokens(spark, d), forms).where("ids is not null")
+    return lexicon.scan_lemma(lexicon.postings(own), spark.createDataFrame([(x,) for x in wanted], "lemma_id string"))
 
 
 @register("lemma_sure_scan", f"WITH {LEMMAS}, s AS (SELECT key, count(DISTINCT display) AS n FROM folded GROUP BY key) SELECT ident, count(*) AS sure FROM tk JOIN s USING (key) WHERE n = 1 GROUP BY ident")
@@ -385,16 +411,23 @@ def attestation_walk(spark, d):
     return history.walk(own, own.where("n > 1"))
 
 
-@register("near_match", f"WITH {WORDS}, p AS (SELECT * FROM (VALUES ('eht'), ('thsi'), ('wtih'), ('ofthe'), ('nding')) t(probe)), s AS (SELECT probe, term AS word, damerau_levenshtein(probe, term) AS distance FROM p, freq WHERE length(probe) >= 4 AND length(term) >= 3 AND term <> probe AND abs(length(term) - length(probe)) <= 2) SELECT probe, count(*) AS n FROM s WHERE distance <= CASE WHEN length(probe) <= 5 THEN 1 ELSE 2 END GROUP BY probe")
+@register("near_match", f"""WITH {WORDS}, p AS (SELECT * FROM (VALUES ('eht'), ('thsi'), ('wtih'), ('ofthe'), ('nding'), ('benenuntionthe')) t(probe)),
+s AS (SELECT probe, term AS word, damerau_levenshtein(probe, term) AS distance FROM p, freq WHERE length(probe) >= 4 AND length(term) >= 3 AND term <> probe AND abs(length(term) - length(probe)) <= 2),
+r AS (SELECT probe, word, distance, row_number() OVER (PARTITION BY probe ORDER BY distance, left(word, 1) <> left(probe, 1), lower(word), word) AS k FROM s WHERE distance <= CASE WHEN length(probe) <= 5 THEN 1 ELSE 2 END)
+SELECT probe, word, distance, k FROM r WHERE k <= 4""")
 def near_match(spark, d):
-    probes = spark.createDataFrame([("eht",), ("thsi",), ("wtih",), ("ofthe",), ("nding",)], "probe string")
-    terms = statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word"))
-    return lexicon.near_matches(probes, terms, most=1_000_000).groupBy("probe").agg(F.count("*").alias("n"))
+    probes = spark.createDataFrame([("eht",), ("thsi",), ("wtih",), ("ofthe",), ("nding",), ("benenuntionthe",)], "probe string")
+    return lexicon.near_matches(probes, statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word")))
+
+
+FOLD = r"trim(regexp_replace(strip_accents(lower(term)), '[-\s]+', ' ', 'g'), ' .,;:''')"
+SORT = "translate(lower(term), 'ç-''’ ', 'c')"
 
 
-@register("prefix_suggest", f"WITH {WORDS} SELECT term AS word, frequency AS uses FROM freq WHERE term LIKE 'th%' AND regexp_full_match(term, '[a-z]+') ORDER BY term <> 'th', frequency DESC, term LIMIT 10")
+@register("prefix_suggest", f"""WITH {WORDS}, k AS (SELECT {FOLD} AS key, arg_min(term, (term <> lower(term), term)) AS word, max(frequency) AS uses FROM freq GROUP BY 1)
+SELECT word, uses FROM k WHERE starts_with(key, 'th') ORDER BY key <> 'th', uses DESC, lower(word), word LIMIT 10""")
 def prefix_suggest(spark, d):
-    own = statistics.term_frequency(A.lines(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word"), F.col("frequency").alias("uses"))
+    own = statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word"), F.col("frequency").alias("uses"))
     return lexicon.suggest(own, "th")
 
 
@@ -408,24 +441,32 @@ def fuzzy_tiers(spark, d):
     return lexicon.fuzzy(statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word")), "on")
 
 
-ASCII = r"regexp_full_match(term, '[a-z]+')"
-
-
-@register("browse_chapters", f"WITH {WORDS} SELECT left(term, 1) AS letter, dense_rank() OVER (PARTITION BY left(term, 1) ORDER BY left(term, 2)) AS chapter, left(term, 2) AS head, term AS word FROM freq WHERE {ASCII}")
+@register("browse_chapters", f"""WITH {WORDS}, k AS (SELECT term AS word, {SORT} AS sort FROM freq)
+SELECT left(sort, 1) AS letter, dense_rank() OVER (PARTITION BY left(sort, 1) ORDER BY left(sort, 2)) AS chapter, left(sort, 2) AS head, word FROM k WHERE sort <> ''""")
 def browse_chapters(spark, d):
-    return lexicon.browse(statistics.term_frequency(A.lines(spark, d)).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("word")))
+    return lexicon.browse(statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word")))
 
 
-@register("neighbours", f"""WITH {WORDS} SELECT term AS word, lag(term) OVER w AS before, lead(term) OVER w AS after,
-  last_value(CASE WHEN frequency > 1 THEN term END IGNORE NULLS) OVER (PARTITION BY left(term, 1) ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attested_before,
-  first_value(CASE WHEN frequency > 1 THEN term END IGNORE NULLS) OVER (PARTITION BY left(term, 1) ORDER BY term ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS attested_after
-FROM freq WHERE {ASCII} WINDOW w AS (PARTITION BY left(term, 1) ORDER BY term)""")
+@register("neighbours", f"""WITH {WORDS}, k AS (SELECT term AS word, frequency, {SORT} AS sort FROM freq) SELECT word, lag(word) OVER w AS before, lead(word) OVER w AS after,
+  last_value(CASE WHEN frequency > 1 THEN word END IGNORE NULLS) OVER (ORDER BY sort, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attested_before,
+  first_value(CASE WHEN frequency > 1 THEN word END IGNORE NULLS) OVER (ORDER BY sort, word ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS attested_after
+FROM k WINDOW w AS (ORDER BY sort, word)""")
 def neighbours(spark, d):
-    own = statistics.term_frequency(A.lines(spark, d)).where(F.col("term").rlike("^[a-z]+$"))
+    own = statistics.term_frequency(A.lines(spark, d))
     return lexicon.neighbours(own.select(F.col("term").alias("word"), (F.col("frequency") > 1).alias("attested")))
 
 
-@register("stratified_sample")
+@register("filed_position", f"""WITH {WORDS}, k AS (SELECT term AS word, {SORT} AS sort, row_number() OVER (ORDER BY {SORT}, term) AS rank FROM freq),
+p AS (SELECT probe, translate(lower(probe), 'ç-''’ ', 'c') AS key FROM (VALUES ('the'), ('thez-z'), ('0'), ('~zz'), ('çhenn')) t(probe)),
+q AS (SELECT probe, (SELECT rank FROM k WHERE word = probe) AS own, (SELECT count(*) FROM k WHERE (sort, word) < (key, probe)) AS under FROM p)
+SELECT probe, CAST(o AS INT) AS "offset", word FROM (SELECT probe, o, CASE WHEN own IS NOT NULL THEN own + o WHEN o < 0 THEN under + 1 + o WHEN o > 0 THEN under + o END AS rank FROM q, (SELECT unnest(range(-3, 4)) AS o)) JOIN k USING (rank)""")
+def filed_position(spark, d):
+    own = statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word"), F.lit(True).alias("attested"))
+    return lexicon.around(own, spark.createDataFrame([("the",), ("thez-z",), ("0",), ("~zz",), ("çhenn",)], "probe string"), span=3)
+
+
+@register("stratified_sample", f"""WITH {WORDS}, b AS (SELECT term AS word, frequency AS uses, CASE WHEN frequency < 10 THEN 1 WHEN frequency < 100 THEN 2 ELSE 3 END AS band FROM freq),
+k AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5(word || '|7'), word) AS k FROM b) SELECT band, word, uses FROM k WHERE k <= 3""")
 def stratified_sample(spark, d):
     return lexicon.banded_sample(statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("word"), F.col("frequency").alias("uses")))
 
@@ -449,11 +490,11 @@ def contributors(spark, d):
     return lexicon.contributors(own.select("ident", F.concat_ws(" & ", F.concat("name", F.lit(" (ed.)")), F.concat("lang", F.lit(", 1901"))).alias("credit")))
 
 
-@register("equivalence_components", """WITH RECURSIVE e AS (SELECT o_custkey % 40 AS a, o_custkey % 40 + 40 * (1 + o_orderkey % 3) AS b FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, w.root FROM w JOIN s ON s.a = w.node) SELECT node, min(root) AS root FROM w GROUP BY node""")
+@register("equivalence_components", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 - o_custkey % 10 AS b FROM orders),
+w(node, up) AS (SELECT a, b FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.up)
+SELECT node, min(up) AS root FROM (SELECT node, up FROM w UNION ALL SELECT up, up FROM w) GROUP BY node""")
 def equivalence_components(spark, d):
-    own = A.table(spark, d, "orders").where("o_orderkey % 7 = 0")
-    return lexicon.components(own.select((F.col("o_custkey") % 40).alias("a"), (F.col("o_custkey") % 40 + 40 * (1 + F.col("o_orderkey") % 3)).alias("b")))
+    return lexicon.components(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.expr("o_orderkey div 2 - o_custkey % 10").alias("b")))
 
 
 @register("ambiguity_histogram", f"WITH {LEMMAS} SELECT least(coalesce(n, 0), 6) AS candidates, count(*) AS tokens, CAST(sum(coalesce(n, 0)) AS BIGINT) AS postings FROM tk LEFT JOIN ids USING (key) GROUP BY 1")
@@ -466,15 +507,15 @@ def cumulative_share(spark, d):
     return harness.cumulative_share(statistics.term_frequency(A.lines(spark, d)).select(F.col("term").alias("form"), F.col("frequency").alias("n")))
 
 
-@register("decisive_majority", "WITH o AS (SELECT l_shipmode AS form, l_returnflag AS lemma, count(*) AS n FROM (SELECT l_suppkey % 200 AS l_shipmode, l_returnflag FROM lineitem WHERE l_linenumber = 4) GROUP BY 1, 2) SELECT form, CAST(sum(n) AS BIGINT) AS total, max(n) AS top, arg_max(lemma, (n, lemma)) AS lemma FROM o GROUP BY form HAVING sum(n) >= 3 AND max(n) / sum(n) >= 0.5")
+@register("decisive_majority", "WITH o AS (SELECT l_suppkey AS form, l_returnflag AS lemma, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT form, CAST(sum(n) AS BIGINT) AS total, max(n) AS top, arg_max(lemma, (n, lemma)) AS lemma FROM o GROUP BY form HAVING sum(n) >= 3 AND max(n) / sum(n) >= 0.35")
 def decisive_majority(spark, d):
-    own = A.table(spark, d, "lineitem").where("l_linenumber = 4").groupBy((F.col("l_suppkey") % 200).alias("form"), F.col("l_returnflag").alias("lemma")).agg(F.count("*").alias("n"))
-    return harness.decisive(own, share=0.5)
+    own = A.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("form"), F.col("l_returnflag").alias("lemma")).agg(F.count("*").alias("n"))
+    return harness.decisive(own, share=0.35)
 
 
-@register("adoption_gate", "WITH g AS (SELECT l_suppkey AS form, count(*) FILTER (l_returnflag <> 'R') AS upheld, count(*) AS judged FROM lineitem WHERE l_linenumber = 6 GROUP BY 1) SELECT form, CASE WHEN judged < 10 THEN 'too few' WHEN upheld = judged THEN NULL WHEN judged >= 50 AND upheld >= 0.98 * judged THEN NULL ELSE 'contested' END AS refusal FROM g")
+@register("adoption_gate", "WITH g AS (SELECT l_partkey AS form, count(*) FILTER (l_quantity < 50) AS upheld, count(*) AS judged FROM lineitem GROUP BY 1) SELECT form, CASE WHEN judged < 10 THEN 'too few' WHEN upheld = judged THEN NULL WHEN judged >= 50 AND upheld >= 0.98 * judged THEN NULL ELSE 'contested' END AS refusal FROM g")
 def adoption_gate(spark, d):
-    own = A.table(spark, d, "lineitem").where("l_linenumber = 6").groupBy(F.col("l_suppkey").alias("form")).agg(F.count_if(F.col("l_returnflag") != "R").alias("upheld"), F.count("*").alias("judged"))
+    own = A.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("form")).agg(F.count_if(F.col("l_quantity") < 50).alias("upheld"), F.count("*").alias("judged"))
     return own.select("form", harness.refusal(F.col("upheld"), F.col("judged")).alias("refusal"))
 
 
@@ -492,15 +533,17 @@ def gloss_scorer(spark, d):
     return harness.gloss_scores(own, glosses).select("token", F.array_join("ids", ",").alias("ids"))
 
 
-@register("html_entry_text")
+@register("html_entry_text", "SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')) AS text FROM pages")
 def html_entry_text(spark, d):
     return A.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@register("lemma_tree", f"WITH {LEMMAS} SELECT DISTINCT display AS root, term AS form FROM cand WHERE display <> term AND regexp_full_match(term, '[a-z]+')")
+@register("lemma_tree", f"""WITH RECURSIVE {LEMMAS}, e AS (SELECT DISTINCT display AS parent, term AS child FROM cand WHERE display <> term),
+t(root, form, depth) AS (SELECT parent, child, 1 FROM e UNION ALL SELECT t.root, e.child, t.depth + 1 FROM t JOIN e ON e.parent = t.form WHERE t.depth < 6)
+SELECT root, form, depth FROM t""")
 def lemma_tree(spark, d):
-    _, _, displays, links = None, *lexicon.load(A.lemma_rows(spark, d).where(F.col("form").rlike("^[a-z]+$")))
-    return lexicon.tree(links, displays, most=2).where("depth = 1").select("root", F.element_at("path", -1).alias("form"))
+    _, displays, links = lexicon.load(A.lemma_rows(spark, d))
+    return lexicon.tree(links, displays).select("root", F.element_at("path", -1).alias("form"), "depth")
 
 
 @register("near_spelling_similarity", "SELECT n_name AS name, CAST(floor(1000 * (1 - levenshtein(n_name, 'NATION') / greatest(length(n_name), 6))) AS BIGINT) AS similarity FROM nation")
