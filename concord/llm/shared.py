@@ -1,52 +1,21 @@
-"""Session helpers: shared storage, materialised tables, Arrow maps, components."""
+"""Helpers of the operators: tables written on the way, Arrow maps, stores of a worker, names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space, the only separator of words in these operators.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, a temporary folder takes its place if driver
-    and executors are one process, as in tests; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/concord/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._concord_path = path
-    return out
+from concord.operators.graph import connected_components
+from concord.operators.tables import discard, materialise, shared_dir
 
+__all__ = ["WORD", "Scratch", "add_schema", "ascii_lower", "connected_components", "discard", "free_names", "hold", "map_arrow", "materialise", "shared_dir"]
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialise` wrote, once nothing reads it any more."""
-    path = getattr(df, "_concord_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+#: ASCII white space, the only separator of words in these operators.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Scratch:
@@ -99,42 +68,3 @@ def ascii_lower(c: Column) -> Column:
 
 def add_schema(df: DataFrame, *extra: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in extra)])
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for undirected ``(src, dst)`` edges of longs.
-
-    Alternates large-star and small-star steps until no edge changes; rounds
-    grow with the logarithm of the longest chain, and it is an error if
-    ``max_rounds`` are not enough.  Every
-    step is an aggregate with map-side combine plus an equi-join of tables just
-    read from storage, so Spark can split the join of a hub.  A round's edges
-    are written to the shared folder; nothing reaches the driver but two
-    numbers.  Nodes without edges do not appear; an empty table gives an empty
-    table.  The result is a written table.
-    """
-    current = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    seen = None
-    for turn in range(max_rounds + 1):
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        if turn == max_rounds:
-            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-        seen = state
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(lowest, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(least, F.col("u") == F.col("k"))
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("k", "m"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        after = materialise(small, "edges")
-        discard(large)
-        discard(current)
-        current = after
-    labels = current.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    labels = materialise(labels.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
-    discard(current)
-    return labels
