@@ -552,8 +552,12 @@ def near_spelling_similarity(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from concord.plans import lexical  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from concord.plans import lexical  # noqa: F401
+
     return dict(SQL)
