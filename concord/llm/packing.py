@@ -57,9 +57,9 @@ class WordEncoder:
         self.store: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _matrix(self, words: list[bytes], width: int) -> list[bytes]:
-        n = len(words)
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(n, width)
+    def _matrix(self, n: int, joined: bytes, width: int) -> list[bytes]:
+        """Ids of ``n`` words of one width."""
+        raw = np.frombuffer(joined, np.uint8).reshape(n, width)
         ids = self.inner[raw]
         ids[:, -1] = self.final[raw[:, -1]]
         size, rows = np.full(n, width), np.arange(n)
@@ -90,8 +90,8 @@ class WordEncoder:
         if len(rows):
             ids[rows, : work.shape[1]] = work
             size[rows] = (work >= 0).sum(1)
-        flat = ids.astype("<u2")
-        return [flat[k, : size[k]].tobytes() for k in range(n)]
+        flat, step = ids.astype("<u2").tobytes(), 2 * ids.shape[1]
+        return [flat[at : at + n] for at, n in zip(range(0, len(flat), step), (2 * size).tolist(), strict=True)]
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         got = self.merge.get(pair_keys(np.maximum(left, 0), np.maximum(right, 0)))
@@ -132,17 +132,19 @@ class WordEncoder:
     def _learn_words(self, words: set[str]) -> None:
         if len(self.words) + len(words) > KEPT_WORDS:
             self.words.clear()
-        groups: dict[int, list[tuple[str, bytes]]] = {}
+        groups: dict[int, list[str]] = {}
         for w in words - self.words.keys():
-            raw = w.encode()
-            groups.setdefault(len(raw), []).append((w, raw))
+            if (n := len(w) if w.isascii() else len(w.encode())) in groups:
+                groups[n].append(w)
+            else:
+                groups[n] = [w]
         for width, own in groups.items():
             if width > 40:
-                self.words.update((w, self._long(raw)) for w, raw in own)
+                self.words.update((w, self._long(w.encode())) for w in own)
                 continue
             for start in range(0, len(own), 20_000):
                 part = own[start : start + 20_000]
-                self.words.update(zip((w for w, _ in part), self._matrix([raw for _, raw in part], width), strict=True))
+                self.words.update(zip(part, self._matrix(len(part), "".join(part).encode(), width), strict=True))
 
     @staticmethod
     def _normal(text: str) -> str:
@@ -155,24 +157,29 @@ class WordEncoder:
         """Store the ids of strings without spaces."""
         if len(self.store) + len(parts) > KEPT_PARTS:
             self.store.clear()
-        store, split, cut, plain = self.store, self.pattern.findall, {}, {}
+        store, split, normal, cut, bare, marked = self.store, self.pattern.findall, self._normal, {}, {}, {}
         for s in parts - store.keys():
             # most parts are a word, or a word and a mark; these need no pattern
             if s.isalpha():
-                plain[s] = (self._normal(s), "")
+                word = s.lower() if s.isascii() else normal(s)
+                if s.isascii() or word.isalpha():  # lower-casing can leave a mark that is no letter
+                    bare[s] = word
+                    continue
             elif s[-1:] in _MARKS and s[:-1].isalpha():
-                plain[s] = (self._normal(s[:-1]), s[-1])
+                word = s[:-1].lower() if s.isascii() else normal(s[:-1])
+                if s.isascii() or word.isalpha():
+                    marked[s] = word
+                    continue
             elif "<|" in s and self.specials.search(s):
-                cut[s] = [x if x in self.special else split(self._normal(x)) for x in self.specials.split(s)]
-            else:
-                cut[s] = [split(self._normal(s))]
-        # lower-casing can leave a mark that is no letter
-        for s in [s for s, (w, _) in plain.items() if not w.isalpha()]:
-            del plain[s]
-            cut[s] = [split(self._normal(s))]
-        self._learn_words({w for w, _ in plain.values()} | {*_MARKS} | {w for own in cut.values() for x in own if not isinstance(x, str) for w in x})
+                cut[s] = [x if x in self.special else split(normal(x)) for x in self.specials.split(s)]
+                continue
+            cut[s] = [split(normal(s))]
+        self._learn_words({*bare.values(), *marked.values(), *_MARKS, *(w for own in cut.values() for x in own if not isinstance(x, str) for w in x)})
         words = self.words
-        store.update((s, words[w] + words[m] if m else words[w]) for s, (w, m) in plain.items())
+        store.update(zip(bare, map(words.__getitem__, bare.values()), strict=True))
+        mark = {m: words[m] for m in _MARKS}
+        for s, w in marked.items():
+            store[s] = words[w] + mark[s[-1]]
         for s, own in cut.items():
             store[s] = b"".join(self.special[x].to_bytes(2, "little") if isinstance(x, str) else b"".join(words[w] for w in x) for x in own)
 
