@@ -56,10 +56,10 @@ def test_word_lists_and_senses(spark):
     rows = spark.createDataFrame([("l1", "a"), ("l2", "b"), ("l2", "c")], "listId string, word string")
     sources = spark.createDataFrame([("l1", "n")], "listId string, notes string")
     assert [r.word for r in corpus.word_lists(rows, sources).collect()] == ["a"] and [tuple(r) for r in corpus.unknown_lists(rows, sources).collect()] == [("l2", 2)]
-    inventory = corpus.sense_inventory(spark.createDataFrame([("x.n", "x#1", "d", "p", "g"), ("x.n", "x#1", "d", "a", "h"), ("", "y#1", "d", "p", "g"), ("x.n", "y#1", "d", "p", "g")], "lemma_id string, sense_id string, dictionary string, entry_path string, gloss string"))
-    assert [tuple(r) for r in inventory.collect()] == [("x.n", "x#1", "d", "a", "h")]
-    side = spark.createDataFrame([("k", "0", "f", "x.n", "x#1"), ("k", "z", "f", "x.n", "x#1"), ("k", "1", "f", "x.n", "x#1,x#9"), ("k", "3", "f", "x.n", "")], "line_key string, pos string, form string, lemma_id string, sense_ids string")
-    assert [(r.pos, r.sense_ids) for r in corpus.sense_sidecar(side, inventory).collect()] == [(0, ["x#1"])]
+    inventory = corpus.sense_inventory(spark.createDataFrame([("x.n", "x.n#1", "d", "p", "g"), ("x.n", "x.n#1", "d", "a", "h"), ("", "y#1", "d", "p", "g"), ("x.n", "y#1", "d", "p", "g")], "lemma_id string, sense_id string, dictionary string, entry_path string, gloss string"))
+    assert [tuple(r) for r in inventory.collect()] == [("x.n", "x.n#1", "d", "a", "h")]
+    side = spark.createDataFrame([("k", "0", "f", "x.n", "x.n#1"), ("k", "z", "f", "x.n", "x.n#1"), ("k", "1", "f", "x.n", "x.n#1,x.n#9"), ("k", "3", "f", "x.n", "")], "line_key string, pos string, form string, lemma_id string, sense_ids string")
+    assert [(r.pos, r.sense_ids) for r in corpus.sense_sidecar(side, inventory).collect()] == [(0, ["x.n#1"])]
 
 
 def test_treebank_and_licences(spark, tmp_path):
