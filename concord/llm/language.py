@@ -23,6 +23,8 @@ from concord.llm.vocabulary import PieceTable, PrefixForest, forests, prefix_has
 
 #: Strings between blanks that a worker keeps, those of at most so many characters; the store is emptied beyond that.
 KEPT, SHORT = 300_000, 64
+#: Words that are summed at a time: their sums are kept for each byte and language.
+ROWS = 15_000
 #: Words up to this many bytes are summed as matrices, longer ones one by one in logarithms; the sums are the same.
 WIDE = 48
 #: Each byte's factor in the matrices, so that products over 48 bytes stay within doubles; it is taken out of the sums.
@@ -120,7 +122,7 @@ class PieceModel:
             if raw := word_bytes(part):
                 pieces.setdefault(raw, []).append(at)
         scaled = self.probability * BYTE ** self.sizes[:, None]
-        for own, forest in forests(list(pieces), (10, 16, 24, WIDE)):
+        for own, forest in forests(list(pieces), (10, 16, 24, WIDE), chunk=ROWS):
             scores = self.forward(forest, scaled)
             spots = [pieces[w] for w in own]
             np.add.at(out, np.concatenate(spots), np.repeat(scores, [len(x) for x in spots], axis=0))

@@ -27,7 +27,7 @@ from concord.llm.shared import hold, materialise
 from concord.llm.vocabulary import HashTable, byte_symbols, pair_keys
 
 #: Strings between spaces, and words, that a worker keeps; a store is emptied beyond that, so memory is bounded.
-KEPT_PARTS, KEPT_WORDS = 700_000, 300_000
+KEPT_PARTS, KEPT_WORDS = 500_000, 200_000
 
 
 class WordEncoder:
