@@ -362,8 +362,9 @@ def lemma_scan_distinct_positions(spark, d):
 
 @register("lemma_sure_scan", f"WITH {LEMMAS}, s AS (SELECT key, count(DISTINCT display) AS n FROM folded GROUP BY key) SELECT ident, count(*) AS sure FROM tk JOIN s USING (key) WHERE n = 1 GROUP BY ident")
 def lemma_sure_scan(spark, d):
-    own, _, displays, _ = tagged(spark, d)
-    return lexicon.sure(own, displays).groupBy("ident").agg(F.count_distinct("line_no", "pos").alias("sure"))
+    lists, rows = A.listed_terms(spark, d)
+    candidates, displays, _ = lexicon.load(rows)
+    return lexicon.uses(lists, lexicon.sure_forms(candidates, displays)).withColumnRenamed("n", "sure")
 
 
 @register("lemma_resolution_layers", f"WITH {LEMMAS} SELECT least(CASE WHEN key = 'has' THEN 1 ELSE n END, 6) AS candidates, count(*) AS tokens FROM tk LEFT JOIN ids USING (key) WHERE n IS NOT NULL GROUP BY 1")
