@@ -49,8 +49,8 @@ HELD = re.compile(r"color|hover|any-hover|pointer|(?:any-)?hover\s*:\s*hover|(?:
 #: A selector's parts: what joins it to the part before, and the tests of one element.
 STEP = re.compile(r"\s*([\s>])\s*")
 TEST = re.compile(r"(\*|[a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
-#: A table is aligned only where this takes at most so many characters for each of its own, and some more.
-FILL, SMALL_TABLE = 8, 20_000
+#: Fixed value: the most blanks that move a cell to its column, about the width of the screen.
+GAP = 160
 #: The most columns and rows that a cell can span.
 MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -978,8 +978,8 @@ class Layout:
         """Rows with their cells padded to the widest of each column.
 
         A cell that spans columns or rows takes its place in all of them, its
-        text stands in the first.  A table that would mostly be padding is not
-        aligned: its cells keep their order, between bars.
+        text stands in the first.  A cell more than ``GAP`` blanks away from
+        the one before it is not moved to its column, it follows after a bar.
         """
         before: list[str] = []
         groups: list[list[list[tuple[list[str], int, int]]]] = []
@@ -1051,22 +1051,20 @@ def aligned(groups: list[list[list[tuple[list[str], int, int]]]]) -> list[str]:
     for width in widths:
         upto.append(upto[-1] + width + 3)
     height = [max((len(lines) for _, lines, _ in row), default=0) for row in placed]
-    own = sum(len(x) + 3 for row in placed for _, lines, _ in row for x in lines)
-    full = sum(h * upto[number[row[-1][0]]] for row, h in zip(placed, height, strict=True) if row)
     out: list[str] = []
     for row, h in zip(placed, height, strict=True):
         for y in range(h):
-            if full > FILL * own + SMALL_TABLE:
-                out.append(" | ".join(lines[y] for _, lines, _ in row if y < len(lines)))
-                continue
             line, at = "", 0
             for column, lines, _ in row:
-                place = upto[number[column]]
+                if y and y >= len(lines):
+                    continue
                 if column:
                     # empty columns lie between where a cell from above, or nothing, stands
-                    line += " " * (place - 3 - at) + " | " if at <= place - 3 else ""
-                    at = place
-                cell = lines[y] if y < len(lines) else ""
+                    gap = upto[number[column]] - 3 - at
+                    gap = gap if gap <= GAP else 0
+                    line += " " * gap + " | "
+                    at += gap + 3
+                cell = lines[y] if lines else ""
                 line, at = line + cell, at + display_width(cell)
             out.append(line.rstrip())
     return out
@@ -1092,8 +1090,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     Null or empty markup gives an empty text of 0 lines; broken markup is
     mended as browsers do, never an error.  Very long pages are read whole, and
-    their text is at most some ``FILL`` times as long, as tables that would be
-    padding are not aligned.  Other columns, whatever their names, are neither
+    their text is longer by at most ``GAP`` blanks and a bar for each line of a
+    cell.  Other columns, whatever their names, are neither
     read nor returned; an empty table gives an empty one.
     """
 

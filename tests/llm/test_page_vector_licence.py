@@ -88,6 +88,13 @@ def test_extract_keeps_all_words_in_order(spark, sf):
         assert [next(left, None) for _ in mine] == mine and next(left, None) is None, r.page_id
 
 
+def test_rows_are_laid_out_alike_however_many_there_are():
+    head, row = "<tr><td>" + "w" * 100 + "<td>c", "<tr><td>a<td>b"
+    for n in (1, 3000):
+        lines = html_text.visible_text(f"<table>{head}{row * n}</table>").split("\n")
+        assert lines == ["w" * 100 + " | c"] + ["a" + " " * 99 + " | b"] * n
+
+
 def test_padding_is_bounded():
     """One wide cell in a long table, and cells that span it all, give no more than some times the page."""
     wide = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "w" * 20_000 + "<td>c</table>"
